@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import chat, decontam, html_main, packing, pii, simhash, tokens
+from geoloom.llm import chat, decontam, embed_dedup, html_main, packing, pii, quality, simhash, tokens, toxicity
 from geoloom.llm.common import cut_lineage, read
 
 
+def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,15 @@ def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(turns.unionByName(forged)))
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, read(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
@@ -48,11 +61,30 @@ def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash_pivots, op3_pii_weak_supervision, op4_decontaminate_cgk, op5_prefix_targets, op8_token_counts, op9_best_fit_packing, op10_line_blocks)
+    for f in (
+        op1_ego_join, op2_simhash_pivots, op3_pii_weak_supervision, op4_decontaminate_cgk, op5_prefix_targets,
+        op6_importance_resampling, op7_toxicity_bigru, op8_token_counts, op9_best_fit_packing, op10_line_blocks,
+    )
 }
 
 #: Formatted sizes in SQL count a turn's marks (4 + 2 + 4) and one more character for each escaped one.
 ORACLES: dict[str, str] = {
+    "op1_ego_join": """
+with recursive sound as (
+  select vec_id, embedding::double[] as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b
+  on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9
+), reach as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+)
+select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links,
+       least(e.vec_id, coalesce((select min(b) from reach where a = e.vec_id), e.vec_id)) as component_id,
+       e.vec_id = least(e.vec_id, coalesce((select min(b) from reach where a = e.vec_id), e.vec_id)) as kept
+from embeddings e
+""",
     "op5_prefix_targets": r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
