@@ -1,0 +1,16 @@
+"""How well the extents of an index cover a region."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+Box = tuple[float, float, float, float]
+
+
+def box_iou(tiles: DataFrame, box: Box) -> DataFrame:
+    """``tiles`` (x0, y0, x1, y1) with ``iou``, their intersection with the box over the union."""
+    side = lambda a, b, lo, hi: F.greatest(F.lit(0.0), F.least(F.col(b), F.lit(hi)) - F.greatest(F.col(a), F.lit(lo)))
+    shared = side("x0", "x1", box[0], box[2]) * side("y0", "y1", box[1], box[3])
+    own = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return tiles.withColumn("iou", shared / (own + F.lit((box[2] - box[0]) * (box[3] - box[1])) - shared))

@@ -1,0 +1,28 @@
+"""Trees given by parent links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def full_names(tree: DataFrame) -> DataFrame:
+    """(id, full_name): names from the root down, joined by ``_`` in lower case. Rows whose parent isn't there count as roots.
+
+    One join a level; a loop of parents gives no rows.
+    """
+    keys = tree.select(F.col("id").alias("parent")).distinct()
+    roots = tree.join(keys, "parent", "left_anti").select("id", F.col("name").alias("path"))
+    rest = tree.join(keys, "parent", "left_semi").select("id", "parent", "name")
+    out, level = roots, roots
+    while True:
+        level = rest.join(level.select(F.col("id").alias("parent"), "path"), "parent").select("id", F.concat("path", F.lit("_"), "name").alias("path"))
+        if level.isEmpty():
+            return out.select("id", F.lower(F.replace("path", F.lit(" "), F.lit("_"))).alias("full_name"))
+        out = out.union(level)
+
+
+def children(tree: DataFrame) -> DataFrame:
+    """(parent, children, names) with names in order; nodes without a parent are under ``root``."""
+    rows = tree.groupBy(F.coalesce("parent", F.lit("root")).alias("parent"))
+    return rows.agg(F.count("*").alias("children"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
