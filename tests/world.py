@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def node(i, lon, lat, **tags):
-    return {"kind": "node", "id": i, "lon": lon, "lat": lat, "tags": tags or None}
+    return {"kind": "node", "id": i, "lon": float(lon), "lat": float(lat), "tags": tags or None}
 
 
 def way(i, refs, **tags):
