@@ -58,7 +58,7 @@ PIVOTS = _pivots()
 
 def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     """Majority of each bit over the XXH64 of all word shingles; words end at ASCII white space."""
-    data = (text or b"").encode() if isinstance(text, str) else (text or b"")
+    data = text.encode() if isinstance(text, str) else text or b""
     words = data.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
         return 0
