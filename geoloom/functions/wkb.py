@@ -132,6 +132,14 @@ def wkb_type(data: pd.Series) -> pd.Series:
 
 
 def envelope_of(data: bytes) -> tuple[float, float, float, float]:
+    """x_min, y_min, x_max, y_max; of a polygon its outer ring says it all."""
+    if data[0] == 1 and data[1] in (POINT, LINE, POLYGON):
+        at = {POINT: 5, LINE: 9, POLYGON: 13}[data[1]]
+        n = 1 if data[1] == POINT else int.from_bytes(data[at - 4 : at], "little") if len(data) > at else 0
+        if n:
+            p = np.frombuffer(data, "<f8", 2 * n, at).reshape(n, 2)
+            return (*p.min(axis=0), *p.max(axis=0))
+
     def flat(kind: str, parts: list):
         if kind == "Point":
             yield parts
