@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import cut_lineage, map_batches, texts_of
@@ -89,6 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(np.log(p[0] / p[1]), min(1.0, share + 1.96 * math.sqrt(share * (1 - share) / labelled)))
 
 
+def _gumbel(doc_id: Column) -> Column:
+    """Standard Gumbel noise, fixed by the id."""
+    u = (F.pmod(F.xxhash64(F.lit(SEED), doc_id), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(u))
+
+
 def log_weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, log_weight double, gumbel_key double): a row per row of ``docs``."""
     ratio = docs.sparkSession.sparkContext.broadcast(model.log_ratio)
@@ -98,8 +104,7 @@ def log_weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(w)], ["doc_id", "log_weight"])
 
     scored = map_batches(_rows(docs, id_col, text_col), one, "doc_id long, log_weight double")
-    u = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    return scored.withColumn("gumbel_key", F.col("log_weight") + _gumbel(F.col("doc_id")))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
@@ -122,9 +127,34 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return lo
 
 
+def _threshold(scored: DataFrame, model: Model) -> float | None:
+    """Least key of the sample; None if all rows are in it."""
+    return kth_largest(scored, "gumbel_key", round(model.share * scored.count()))
+
+
 def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, log_weight double, gumbel_key double, kept boolean): a row per row of ``docs``."""
     model = fit(docs, labels, id_col, text_col)
     scored = cut_lineage(log_weights(docs, model, id_col, text_col))
-    least = kth_largest(scored, "gumbel_key", round(model.share * scored.count()))
+    least = _threshold(scored, model)
     return scored.withColumn("kept", F.lit(True) if least is None else F.col("gumbel_key") >= least)
+
+
+def keep_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in the sample, with their columns.
+
+    Keys are small and go through the threshold search; the rows themselves are weighed once more where they are read,
+    so that no text is shuffled.
+    """
+    model = fit(docs, labels, id_col, text_col)
+    least = _threshold(cut_lineage(log_weights(docs, model, id_col, text_col)), model)
+    if least is None:
+        return docs
+    ratio, at = docs.sparkSession.sparkContext.broadcast(model.log_ratio), docs.schema.names.index(text_col)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        # the same sums as in the keys, so that the last row in is in here too
+        w = np.array([ratio.value[features(t or "")].sum() for t in b.column(at).to_pylist()], float)
+        return b.filter(pa.array(w + b.column(b.num_columns - 1).to_numpy() >= least)).drop_columns(["__noise"])
+
+    return map_batches(docs.withColumn("__noise", _gumbel(F.col(id_col).cast("long"))), one, docs.schema)

@@ -351,6 +351,7 @@ AROUND = [
     "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>{}</body></html>", "<body><nav><ul><li><a href=/>menu</a></li></ul></nav><article>{}</article><footer>&copy; foot</footer>",
     "<header><h1>site</h1></header><aside>side bar</aside><main>{}</main><div class='comments'><p>a reader's comment, quite long indeed, with many words in it</p></div>",
     "<div class='ad banner'>buy now</div><article>{}<aside>more</aside><form><input>send <button>go</button></form></article><script>var x = '</p>';</script>",
+    "<div class='page with-sidebar'><ul><li><a href=1>one</a></li><li><a href=2>two</a></li><li><a href=3>three</a></li></ul><div class='text'>{}</div></div>",
     "<div id=cookie-notice><p>we use cookies</p></div><div class=content>{}</div><section class='related posts'><p>other article teaser text</p></section>",
 ]
 
