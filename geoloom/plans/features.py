@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions import jts, topology
+from geoloom.functions import batches, jts, topology
 from geoloom.functions.arrays import area_tags, is_ring
 from geoloom.functions.wkb import encode_polygon, encode_polygons, points_wkb, ways_wkb
 from geoloom.plans.references import Bundle
@@ -59,8 +59,8 @@ def relation_parts(members: list[tuple[str | None, topology.Line]]) -> tuple[lis
 _PARTS = "id long, geometry binary, outers array<binary>, inners array<binary>"
 
 
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _assembled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in rows:
         ids, done, outers, inners = [], [], [], []
         for key, members in zip(b.column("id").to_pylist(), b.column("members").to_pylist()):
             lines = [(m["role"], [(x, y) for x, y in zip(m["xs"], m["ys"])]) for m in sorted(members, key=lambda m: m["idx"])]
@@ -81,11 +81,11 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(done, pa.binary()), pa.array(outers, kind), pa.array(inners, kind)], ["id", "geometry", "outers", "inners"])
 
 
-def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nested(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Without overlay: rings nested as they are."""
     from geoloom.functions.wkb import decode
 
-    for b in batches:
+    for b in rows:
         out = []
         for done, outer, inner in zip(*(b.column(c).to_pylist() for c in ("geometry", "outers", "inners"))):
             out.append(done or encode_polygons(topology.polygons(*([decode(r)[1][0] for r in rings] for rings in (outer, inner)))))
@@ -94,6 +94,7 @@ def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def relation_geometry(members: DataFrame, ways: DataFrame) -> DataFrame:
     """(id, geometry) of the relations whose parts close."""
+    batches.bound(members.sparkSession)
     xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
     rows = members.join(ways.select(F.col("id").alias("ref"), "points"), "ref")
     row = F.struct(F.col("ref_idx").alias("idx"), F.col("ref_role").alias("role"), xs.alias("xs"), ys.alias("ys"))

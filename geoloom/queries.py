@@ -321,11 +321,11 @@ def total_extent(spark, d):
     return e.agg(F.min("e.x_min").alias("x_min"), F.min("e.y_min").alias("y_min"), F.max("e.x_max").alias("x_max"), F.max("e.y_max").alias("y_max"))
 
 
-@query(_POINTS + """ select id, round(list_sum(list_transform(range(1, len(points)), lambda i: points[i].x * points[i + 1].y - points[i + 1].x * points[i].y)) / 2, 3) as area
+@query(_POINTS + """ select id, round(list_sum(list_transform(range(1, len(points)), lambda i: points[i].x * points[i + 1].y - points[i + 1].x * points[i].y)) / 2, 3) + 0.0 as area
 from deduped where whole and len(dd) >= 4 and points[1] = points[-1]""")
 def ring_areas(spark, d):
     p = F.col("points")
-    return _lines(spark, d).filter(arrays.is_ring(p)).select("id", F.round(arrays.signed_area(p), 3).alias("area"))
+    return _lines(spark, d).filter(arrays.is_ring(p)).select("id", (F.round(arrays.signed_area(p), 3) + 0.0).alias("area"))
 
 
 @query(_POINTS + """ select id, round(list_sum(list_transform(range(1, len(points)), lambda i: 2 * 6371.0088 * asin(least(1.0, sqrt(

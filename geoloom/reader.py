@@ -50,6 +50,7 @@ class OsmReader:
     session_sql: tuple[str, ...] = ()
     fetch: Callable = field(default=sources.http_fetch, repr=False)
     fetch_bytes: Callable | None = field(default=None, repr=False)
+    _held: list[DataFrame] = field(default_factory=list, init=False, repr=False)
 
     def __post_init__(self) -> None:
         if self.tags_filter is not None:
@@ -80,7 +81,17 @@ class OsmReader:
         elements = read_pbf(self.spark, local)
         if self.cpu_limit:
             elements = elements.coalesce(self.cpu_limit)
-        return elements.persist(StorageLevel.DISK_ONLY)
+        return self._hold(elements)
+
+    def _hold(self, frame: DataFrame) -> DataFrame:
+        """Keep a frame that several jobs read; :meth:`release` lets it go."""
+        self._held.append(frame.persist(StorageLevel.DISK_ONLY))
+        return frame
+
+    def release(self) -> None:
+        """Give back what reads have kept on the executors' disks; frames read before are then made anew when used."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def read(self, paths: str | Iterable[str], ids: Iterable[str] | None = None, keep_all_tags: bool = False, explode_tags: bool | None = None, extract_regions: list[regions.Region] | None = None) -> DataFrame:
         """Features of one or several files; those in several files once, from the largest file that has them."""
@@ -101,7 +112,8 @@ class OsmReader:
         if not parts:
             return self.spark.createDataFrame([], "feature_id string, geometry binary")
         frames = [f for _, f in sorted(parts, key=lambda p: p[0])]
-        return tag_functions.drop_null_columns(dedupe.combine(frames))
+        # counting nulls, finding the order and writing all read the features: they are assembled once
+        return tag_functions.drop_null_columns(self._hold(dedupe.combine(frames)))
 
     # ---- results
 
@@ -111,10 +123,13 @@ class OsmReader:
 
     def _write(self, features: DataFrame, path: str, wkt: bool, order: str | None, single_file: bool) -> str:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        if wkt:
-            return sink.write_wkt(features, path, self.compression)
         box = regions.bounds(self.region) if self.region else None
-        return sink.write_geoparquet(features, path, single_file, self.compression, self.compression_level, self.row_group_size, self.parquet_version, order, box)
+        try:
+            if wkt:
+                return sink.write_wkt(features, path, self.compression)
+            return sink.write_geoparquet(features, path, single_file, self.compression, self.compression_level, self.row_group_size, self.parquet_version, order, box)
+        finally:
+            self.release()
 
     def pbf_to_parquet(self, paths, result: str | None = None, keep_all_tags: bool = False, explode_tags: bool | None = None, sort: bool = True, algorithm: str = "str", ignore_cache: bool = False, ids: Iterable[str] | None = None, wkt: bool = False, extract_regions: list | None = None, single_file: bool = True) -> str:
         """Write features to parquet and return the path; a result that is there already is used again."""
@@ -133,17 +148,26 @@ class OsmReader:
         return self._write(self.read(files, ids, keep_all_tags, explode_tags, extract_regions), path, wkt, algorithm if sort else None, single_file)
 
     def pbf_to_pandas(self, paths, **options):
-        return sink.to_pandas(self.read(paths, **options))
+        try:
+            return sink.to_pandas(self.read(paths, **options))
+        finally:
+            self.release()
 
     def pbf_to_duckdb(self, paths, result: str | None = None, table: str = "features", **options) -> str:
         files = [str(paths)] if isinstance(paths, (str, Path)) else [str(p) for p in paths]
         name = self._name(files, None, options.get("keep_all_tags", False), options.get("explode_tags"), options.get("ids"), False, False)
         path = result or str(Path(name).with_suffix(".duckdb"))
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        return sink.write_duckdb(self.read(files, **options), path, table)
+        try:
+            return sink.write_duckdb(self.read(files, **options), path, table)
+        finally:
+            self.release()
 
     def pbf_to_table(self, paths, table: str, **options) -> str:
-        return sink.write_table(self.read(paths, **options), table)
+        try:
+            return sink.write_table(self.read(paths, **options), table)
+        finally:
+            self.release()
 
     # ---- extracts
 
@@ -176,7 +200,7 @@ class OsmReader:
 
     def region_to_pandas(self, **options):
         found = self.find_extracts()
-        return sink.to_pandas(self.read([p for _, p in found], extract_regions=[e.geometry for e, _ in found], **options))
+        return self.pbf_to_pandas([p for _, p in found], extract_regions=[e.geometry for e, _ in found], **options)
 
     def region_to_duckdb(self, result: str | None = None, table: str = "features", **options) -> str:
         found = self.find_extracts()
