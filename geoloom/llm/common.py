@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.functions import batches
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The whole table; the path may be in any store that Spark reads."""
@@ -34,25 +36,26 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches_of(table_rows: dict, schema: pa.Schema) -> pa.RecordBatch:
-    """A record batch from columns, cast to ``schema``."""
-    return pa.RecordBatch.from_arrays([pa.array(table_rows[f.name], f.type) for f in schema], schema=schema)
-
-
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; null is empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def map_parts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size."""
+    batches.bound(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """:func:`map_parts` with a function of one batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
             if b.num_rows:
                 yield fn(b)
 
-    return df.mapInArrow(run, schema)
+    return map_parts(df, run, schema)
 
 
 def runs(it: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:

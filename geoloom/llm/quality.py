@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut_lineage, map_batches, texts_of
+from geoloom.llm.common import cut_lineage, map_batches, map_parts, texts_of
 
 BUCKETS = 1 << 14
 #: Bound of the labelled sample that the target model is fitted on.
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(aim[seen])], ["bucket", "raw", "target"])
 
-    found = _rows(docs, id_col, text_col).mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    found = map_parts(_rows(docs, id_col, text_col), count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     n = np.zeros((2, BUCKETS))
     for r in found.collect():  # at most BUCKETS rows
         n[:, r.bucket] = r.target, r.raw
