@@ -188,16 +188,18 @@ def links(classes: DataFrame, width: int, cosine: float = COSINE) -> DataFrame:
     own = lambda side: blocks.select(F.col("block").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("reps", "counts", "vectors")])
     work = pairs.join(own("a"), "a").join(own("b"), "b")
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                of = lambda side, b=b, r=r: tuple(np.frombuffer(b.column(f"{x}_{side}")[r].as_py(), t) for x, t in (("reps", np.int64), ("counts", np.int64), ("vectors", np.float32)))
-                one, two = ((x, n, _unit(v.reshape(-1, width).astype(np.float64))) for x, n, v in (of("a"), of("b")))
-                found = join_blocks(one, two, axes, cosine, b.column("a")[r].as_py() == b.column("b")[r].as_py())
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "n", "b"])
-
-    return work.repartition(shuffle_width(spark), "a", "b").mapInArrow(joined, "a long, n long, b long")
+    def joined(pair: pa.Table) -> pa.Table:
+        out = []
+        for r in pair.to_pylist():
+            one, two = (
+                (np.frombuffer(r[f"reps_{s}"], np.int64), np.frombuffer(r[f"counts_{s}"], np.int64), _unit(np.frombuffer(r[f"vectors_{s}"], np.float32).astype(np.float64).reshape(-1, width)))
+                for s in ("a", "b")
+            )
+            out.append(join_blocks(one, two, axes, cosine, r["a"] == r["b"]))
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["a", "n", "b"])
+
+    # a pair of blocks is a group of its own, so a task holds one pair at a time
+    return work.groupBy("a", "b").applyInArrow(joined, "a long, n long, b long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
