@@ -11,7 +11,7 @@ part of it is within ``k = floor(0.2 L)`` word edits of the item (similarity 0.8
    target recall.
 3. Candidates are verified by Myers' bit-parallel edit distance against the window with k more words at each side.
 
-The item tables are broadcast in blocks of ``BLOCK`` items, so what is broadcast is bounded, and each block reads the
+The item tables are broadcast in blocks of bounded size, so what is broadcast is bounded, and each block reads the
 documents once. Items of three to five words match exactly; shorter ones never. Null texts and items are empty. Repeated
 rows give repeated results. Without items or documents the result is empty. Whole texts are read.
 """
@@ -32,13 +32,16 @@ from geoloom.llm.common import map_batches, texts_of
 
 SIMILARITY = 0.8
 RECALL = 0.99
-#: Items in a broadcast.
-BLOCK = 20_000
+#: Items in a broadcast, and characters of their texts.
+BLOCK, BLOCK_CHARS = 20_000, 20_000_000
+#: Window starts that are looked at in a range; beyond that they are evenly spread, at most k / 8 words apart.
+STARTS = 33
 #: Random walks, sampled positions of an embedding in a key, and the share of positions on which the walks of two texts
 #: within k edits agree, at least.
 WALKS, SAMPLED, AGREEMENT = 4, 2, 0.4
 _SEPARATORS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-_EMBED_ROWS = 4096
+#: Cells of the embeddings that are in memory at once.
+_CELLS = 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -103,36 +106,46 @@ class Items:
         self.first = np.append(first, len(self.grams))
         self.longest = int(self.size.max(initial=0))
         rng = np.random.default_rng(7)
-        self.steps = rng.integers(0, 2, (WALKS, 3 * max(1, self.longest), self.v), dtype=np.uint8)
+        # the walks' bits are the top bits of linear hashes, one for each step
+        self.steps = rng.integers(0, 2**63, (WALKS, 3 * max(1, self.longest), 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.samples = samples_for(self.recall)
         self.places = rng.random((self.samples, SAMPLED))
         self.odd = rng.integers(1, 2**62, (self.samples, SAMPLED + 1), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        own = np.zeros((len(self.words), self.longest + 1), np.int64)
-        for i, w in enumerate(self.words):
-            own[i, : len(w)] = w
-        table = self.sampled(own, self.size)
+        table = self.sampled([np.array(w, np.int64) for w in self.words], self.size)
         order = np.argsort(table.ravel(), kind="stable")
         self.table, self.table_item = table.ravel()[order], order // self.samples
 
-    def sampled(self, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Keys of the samples of each row's embeddings; beyond ``size`` words a row is blank."""
+    def sampled(self, rows: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        """Keys of the samples of each row's embeddings, as of ``size`` words; a shorter row ends in blanks."""
         out = np.zeros((len(rows), self.samples), np.uint64)
-        for a in range(0, len(rows), _EMBED_ROWS):
-            part, n = rows[a : a + _EMBED_ROWS], size[a : a + _EMBED_ROWS]
-            each = np.arange(len(part))
-            for walk in range(WALKS):
-                seen = np.zeros((len(part), 3 * max(1, int(n.max(initial=0)))), np.int64)
-                at = np.zeros(len(part), np.int64)
-                for t in range(seen.shape[1]):
-                    word = np.where(at < n, part[each, np.minimum(at, part.shape[1] - 1)], 0)
-                    seen[:, t] = word
-                    at += self.steps[walk, t, word]
-                for s in range(walk, self.samples, WALKS):
-                    key = n.astype(np.uint64) * self.odd[s, 0]
-                    for q in range(SAMPLED):
-                        place = (self.places[s, q] * 3 * n).astype(np.int64)
-                        key = (key ^ (key >> np.uint64(31))) + (seen[each, place] + 1).astype(np.uint64) * self.odd[s, q + 1]
-                    out[a : a + len(part), s] = key
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            n = 1
+            while at + n < len(order) and (n + 1) * 3 * size[order[at + n]] <= _CELLS:
+                n += 1
+            part = order[at : at + n]
+            out[part] = self._sampled([rows[k] for k in part], size[part])
+            at += n
+        return out
+
+    def _sampled(self, rows: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        width, each = int(size.max()), np.arange(len(rows))
+        words, out = np.zeros((len(rows), width + 1), np.int64), np.zeros((len(rows), self.samples), np.uint64)
+        for k, row in enumerate(rows):
+            words[k, : len(row)] = row
+        for walk in range(WALKS):
+            seen, at = np.zeros((len(rows), 3 * width), np.int64), np.zeros(len(rows), np.int64)
+            for t in range(3 * width):
+                word = np.where(at < size, words[each, np.minimum(at, width)], 0)
+                seen[:, t] = word
+                at += ((word.astype(np.uint64) * self.steps[walk, t, 0] + self.steps[walk, t, 1]) >> np.uint64(63)).astype(np.int64)
+            for s in range(walk, self.samples, WALKS):
+                key = size.astype(np.uint64) * self.odd[s, 0]
+                for q in range(SAMPLED):
+                    place = (self.places[s, q] * 3 * size).astype(np.int64)
+                    key = (key ^ (key >> np.uint64(31))) + (seen[each, place] + 1).astype(np.uint64) * self.odd[s, q + 1]
+                out[:, s] = key
         return out
 
     def starts(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
@@ -186,16 +199,14 @@ class Items:
             windows, size, of = [], [], []
             for r, (k, i, a, b) in enumerate(part):
                 ids, n = ids_of[k], int(self.size[i])
-                for s in range(max(0, a), max(0, min(b, len(ids) - 1)) + 1):
-                    row = np.zeros(self.longest + 1, np.int64)
-                    own = ids[s : s + n]
-                    row[: len(own)] = own
-                    windows.append(row)
+                a, b = max(0, a), max(0, min(b, len(ids) - 1))
+                for s in range(a, b + 1) if b - a < STARTS else np.linspace(a, b, STARTS).astype(np.int64).tolist():
+                    windows.append(ids[s : s + n])
                     size.append(n)
                     of.append(r)
             if not windows:
                 continue
-            keys = self.sampled(np.stack(windows), np.array(size, np.int64)).ravel()
+            keys = self.sampled(windows, np.array(size, np.int64)).ravel()
             lo, hi = np.searchsorted(self.table, keys, "left"), np.searchsorted(self.table, keys, "right")
             shared = {(of[q // self.samples], int(i)) for q in np.flatnonzero(hi > lo) for i in self.table_item[lo[q] : hi[q]]}
             for r, i in shared:
@@ -210,10 +221,10 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK, similarity: float = SIMILARITY, recall: float = RECALL) -> Iterator[Items]:
-    """The items in blocks of about ``block`` at most, dealt by a hash of the id."""
+    """The items in blocks of about ``block`` items and ``BLOCK_CHARS`` characters at most, dealt by a hash of the id."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    parts = max(1, math.ceil(n / block))
+    n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    parts = max(1, math.ceil(n / block), math.ceil((chars or 0) / BLOCK_CHARS))
     for part in range(parts):
         known: dict[bytes, int] = {}
         keys, words = [], []
