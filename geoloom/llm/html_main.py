@@ -46,12 +46,19 @@ _MARKED = re.compile(
     re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_NOISE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(_RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)")
+#: Attributes up to the end of a tag. Quotes without a partner are plain signs, and nothing is tried twice, so time is linear.
+_REST = r"""(?:[^>"']++|"[^"]*"|'[^']*'|["'])*+"""
+_NOISE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(_RAW.split())})\b{_REST}(?:>|\Z).*?(?:</\1\s*>|\Z)", re.I | re.S)
+_TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_REST})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)")
+
+
+#: Names that only say what a wrapper has or lacks.
+_LAYOUT = re.compile(r"(?:no|has|with|without|hide|show)[-_]", re.I)
 
 
 def _is_marked(attributes: str) -> bool:
-    return any(_MARKED.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
+    names = (n for a, b, c in _NAMED.findall(attributes) for n in (a or b or c).split())
+    return any(_MARKED.search(n) and not _LAYOUT.match(n) for n in names)
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -136,7 +143,8 @@ def main_text(page: str | None) -> str:
         found = [line if line[2] else ("", 0, False) for line in found]
         kept = regions([len(t) for t, _, _ in found])
     else:
-        every = regions([len(t) for t, _, _ in found])
+        # text of links counts as none, so a list of links is a dive like blank lines
+        every = regions([len(t) - min(len(t), k) for t, k, _ in found])
         plain = {r: sum(len(t) - min(len(t), k) for t, k, _ in found[r[0] : r[1]]) for r in every}
         whole = {r: sum(len(t) for t, _, _ in found[r[0] : r[1]]) for r in every}
         fit = [r for r in every if plain[r] >= (1 - LINK_SHARE) * whole[r]]
