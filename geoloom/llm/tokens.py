@@ -31,6 +31,8 @@ TOKEN_LIMIT = 512
 CACHE = 400_000
 #: Longer pre-tokens aren't cached.
 CACHED_CHARS = 64
+#: Characters from which a pre-token is encoded with a look at errors.
+LONG = 1000
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
 
@@ -83,7 +85,7 @@ class Counter:
         for word in missed:
             k = self.cache.get(word)
             if k is None:
-                k = len(self.enc.encode_ordinary(word))
+                k = len(self.encode(word))
                 if len(word) <= CACHED_CHARS:
                     if len(self.cache) >= CACHE:
                         self.cache.clear()
@@ -91,6 +93,14 @@ class Counter:
             n += k
         return n
 
+    def encode(self, word: str) -> list[int]:
+        if len(word) < LONG:
+            return self.enc.encode_ordinary(word)
+        try:
+            return self.enc.encode(word, disallowed_special=())
+        except ValueError:  # the faster encoder gives up on very long runs of white space
+            return tokenizer(public_tokenizers.path(VOCABULARY)).encode(word, add_special_tokens=False).ids
+
     def count(self, text: str) -> int:
         parts = text.split(SPECIAL)
         return len(parts) - 1 + sum(map(self.ordinary, parts))
@@ -121,4 +131,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def token_ids(text: str, ranks: str = RANKS) -> np.ndarray:
     """The ids of a text, special strings inside it included, as an array of unsigned 32-bit numbers."""
-    return ranked(public_tokenizers.path(ranks)).encode_to_numpy(text, allowed_special="all")
+    try:
+        return ranked(public_tokenizers.path(ranks)).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # the faster encoder gives up on very long runs of white space
+        return np.array(tokenizer(public_tokenizers.path(VOCABULARY)).encode(text, add_special_tokens=False).ids, np.uint32)

@@ -149,6 +149,15 @@ def test_recall_of_edited_items(spark):
         assert slow_distance(decontam.words_of(dict(items)[k]), decontam.words_of(rows[d][1])) <= decontam.edits_allowed(len(decontam.words_of(dict(items)[k])))
 
 
+def test_very_long_item(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    bent = [w if rng.random() > 0.1 else "other" for w in words]
+    texts = [" ".join(["before"] * 50 + bent + ["after"] * 50), " ".join(rng.sample(words, len(words)))]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "five short words are here")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminations(docs(spark, texts), bench).collect()] == [(0, 1)]
+
+
 def test_decontaminate_odd_tables(spark):
     texts = ["x one two three four five six seven y", None, "", "One, TWO three; four five six seven!", "one two three", "z " * 50_000 + "one two three four five six seven"]
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (4, "a b"), (5, "one two three")], "item_id long, text string")
@@ -271,7 +280,7 @@ def test_toxicity_odd_tables(spark):
 
 # ---- tokens and packing
 
-ODD = [None, "", "<|endoftext|>", "a<|endoftext|>b  c", "<|endoftext", "x​　 y", " \n\n \t x", "é" * 10, "x" * 3000, "😀😀 1234 ½ Ⅷ ٣٤", "a" * 1023 + " b", "hello " * 20_000]
+ODD = [None, "", "<|endoftext|>", "a<|endoftext|>b  c", "<|endoftext", "x​　 y", " \n\n \t x", "é" * 10, "x" * 3000, "😀😀 1234 ½ Ⅷ ٣٤", "a" * 1023 + " b", "hello " * 20_000, "x" + " " * 300_000 + "y", "\n" * 200_000, "ab" * 50_000]
 
 
 def reference_ids(texts):
@@ -371,6 +380,15 @@ def test_pages_against_their_article(spark):
         assert r.text == "\n".join(filter(None, blocks)) and r.n_chars == len(r.text) and r.url == p.url
 
 
+@pytest.mark.parametrize("part", ['<a "', "<div '", "<", "<p>", "<!--", "<script ", "<script>", '<b "x>', "&", '<a href="', "</"])
+def test_hostile_markup_takes_linear_time(part):
+    import time
+
+    began = time.time()
+    html_main.main_text(part * 40_001)
+    assert time.time() - began < 5
+
+
 def test_html_odd_tables(spark):
     pages = [None, "", "just text", "<p>open <b>never closed", "<", "<div", "&amp &lt;b&gt; &#233;&#xe9;", "<script>only</script>", "<nav>a</nav>", "<p>x</p>" * 20_000]
     df = spark.createDataFrame([(k, None, h, "t", 1) for k, h in enumerate(pages)], "page_id long, url string, html string, text string, n_chars int")
