@@ -126,10 +126,10 @@ def filter_has_tags(spark, d):
 # ---- other predicates
 
 
-@query(f"select id, {STRIPPED_TEXT} as tags from nodes where cardinality({STRIPPED}) = 3 and id % 2 = 0 and starts_with(tags['brand'], 'Brand')")
+@query(f"select id, {STRIPPED_TEXT} as tags from nodes where cardinality({STRIPPED}) = 3 and starts_with(tags['brand'], 'Brand')")
 def filter_sql(spark, d):
     split = references.with_metadata_split(star.elements(spark, d).filter("kind = 'node'"))
-    return split.filter(references.wanted(None, "cardinality(tags) = 3 and id % 2 = 0 and startswith(tags['brand'], 'Brand')")).select("id", tags_text().alias("tags"))
+    return split.filter(references.wanted(None, "cardinality(tags) = 3 and startswith(tags['brand'], 'Brand')")).select("id", tags_text().alias("tags"))
 
 
 @query("select 'node' as kind, id from nodes where id in (1, 2) union all select 'way', id from ways where id in (3)")
@@ -428,21 +428,21 @@ def outer_parts_united(spark, d):
 
 @query("""select feature_id, tag, extra from (
   select *, row_number() over (partition by feature_id order by f) as k from (
-    select 'part/' || p_partkey as feature_id, p_brand as tag, null as extra, 0 as f from part where p_partkey % 3 <> 0
-    union all select 'part/' || p_partkey, p_type, p_name, 1 from part where p_partkey % 2 = 0)) where k = 1""", base=False)
+    select 'part/' || p_partkey as feature_id, p_brand as tag, null as extra, 0 as f from part where p_size <= 35
+    union all select 'part/' || p_partkey, p_type, p_name, 1 from part where p_size >= 20)) where k = 1""", base=False)
 def files_combined(spark, d):
     part = star.table(spark, d, "part")
     key = F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("feature_id")
-    one = part.filter("p_partkey % 3 <> 0").select(key, F.col("p_brand").alias("tag"))
-    two = part.filter("p_partkey % 2 = 0").select(key, F.col("p_type").alias("tag"), F.col("p_name").alias("extra"))
+    one = part.filter("p_size <= 35").select(key, F.col("p_brand").alias("tag"))
+    two = part.filter("p_size >= 20").select(key, F.col("p_type").alias("tag"), F.col("p_name").alias("extra"))
     return dedupe.combine([one, two])
 
 
-@query("""select * from (select p_partkey as id, p_brand as tag, null as extra from part where p_partkey % 2 = 0
-union all by name select p_partkey as id, p_name as extra from part where p_partkey % 5 = 0)""", base=False)
+@query("""select * from (select p_partkey as id, p_brand as tag, null as extra from part where p_size <= 35
+union all by name select p_partkey as id, p_name as extra from part where p_size >= 20)""", base=False)
 def union_by_name(spark, d):
     part = star.table(spark, d, "part")
-    return dedupe.union_by_name([part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("tag")), part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("extra"))])
+    return dedupe.union_by_name([part.filter("p_size <= 35").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("tag")), part.filter("p_size >= 20").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("extra"))])
 
 
 @query("select p_partkey as id, p_brand as brand from part anti join (select l_partkey as p_partkey from lineitem where l_quantity > 40) using (p_partkey)", base=False)
