@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import texts_of
+from geoloom.llm.common import map_parts, texts_of
 
 WINDOW, STEP = 32, 24
 THRESHOLD = 0.3
@@ -76,10 +76,14 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """Input vectors of distinct words."""
-        bucket, first = self.grams(words)
-        sizes = np.diff(np.append(first, len(bucket)))
-        char = np.add.reduceat(self.p["char"][bucket], first, axis=0) / sizes[:, None]
-        return np.concatenate([self.p["word"][[self.known.get(w, 1) for w in words]], char], axis=1).astype(np.float32)
+        out = np.empty((len(words), WORD_DIM + CHAR_DIM), np.float32)
+        for k in range(0, len(words), ROWS):  # so that what all trigrams look up is never in memory at once
+            part = words[k : k + ROWS]
+            bucket, first = self.grams(part)
+            sizes = np.diff(np.append(first, len(bucket)))
+            out[k : k + ROWS, WORD_DIM:] = np.add.reduceat(self.p["char"][bucket], first, axis=0) / sizes[:, None]
+            out[k : k + ROWS, :WORD_DIM] = self.p["word"][[self.known.get(w, 1) for w in part]]
+        return out
 
     def gates(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the inputs add to the gates of the forward and of the backward direction."""
@@ -161,22 +165,26 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     net, rng = Network(vocabulary), np.random.default_rng(seed)
     distinct = sorted(seen)
     number = {w: k + 1 for k, w in enumerate(distinct)}
-    docs = [_windows(np.array([number[w] for w in words], np.int64), TRAIN_WINDOWS) for words in listed]
+    docs = [_windows(np.array([number[w] for w in words], np.int64), TRAIN_WINDOWS).astype(np.int32) for words in listed]
     first = np.cumsum([0, *map(len, docs)])
     windows, y = np.concatenate(docs), np.array(labels, np.float32)
-    bucket, at = net.grams(distinct)
+    sizes_of = np.diff(first)
+    del listed, docs, number
+    grams = [net.grams(distinct[k : k + ROWS]) for k in range(0, len(distinct), ROWS)]
+    bucket = np.concatenate([b for b, _ in grams]).astype(np.int32)
+    at = np.concatenate([a + n for (_, a), n in zip(grams, np.cumsum([0, *(len(b) for b, _ in grams)]))])
     bounds, known = np.append(at, len(bucket)), np.array([net.known.get(w, 1) for w in distinct])
     blank = np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step, epochs = 0, max(epochs, math.ceil(STEPS * BATCH / len(docs)))
+    step, epochs = 0, max(epochs, math.ceil(STEPS * BATCH / len(sizes_of)))
     for epoch in range(epochs):
         if epoch < epochs // 4:
-            pick = first[:-1] + (rng.random(len(docs)) * np.diff(first)).astype(np.int64)
+            pick = first[:-1] + (rng.random(len(sizes_of)) * sizes_of).astype(np.int64)
         else:
             gates = net.gates(np.concatenate([blank, net.inputs(distinct)]))
             logit = np.concatenate([net.run(gates, windows[k : k + ROWS]) for k in range(0, len(windows), ROWS)])
             pick = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(first[:-1], first[1:])])
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(sizes_of))
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
             used, local = np.unique(windows[pick[own]], return_inverse=True)
@@ -292,5 +300,5 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.astype(np.float64))], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = map_parts(rows, run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
