@@ -142,8 +142,9 @@ def main(argv: list[str] | None = None, spark=None, **hooks) -> int:
     a = p.parse_args(argv)
     source = a.osm_extract_source or [sources.Source.any]
     if a.show_extracts:
-        for s in sources.resolve_sources(source):
-            print("\n".join(sources.tree_lines(sources.load_index(s, Path(a.working_directory) / "indexes", hooks.get("fetch", sources.http_fetch)), s.value)))
+        from geoloom.reader import display_available_extracts
+
+        display_available_extracts(source, working_directory=a.working_directory, fetch=hooks.get("fetch", sources.http_fetch))
         return 0
     if a.pbf_file is None and a.osm_extract_query is None and a.region is None:
         p.error("a PBF file, an extract query or a region is needed")

@@ -273,3 +273,9 @@ def convert_extract_to_duckdb(spark: SparkSession, query: str, result: str | Non
     own, call = _split(options)
     reader = OsmReader(spark, **own)
     return reader.pbf_to_duckdb(reader.extract_by_name(query, first), result, table, **call)
+
+
+def display_available_extracts(source=sources.Source.any, full_names: bool = False, working_directory: str = "files", fetch: Callable = sources.http_fetch) -> None:
+    """Print the extracts that services offer, as trees."""
+    for s in sources.resolve_sources(source):
+        print("\n".join(sources.tree_lines(sources.load_index(s, Path(working_directory) / "indexes", fetch), s.value, full_names)))

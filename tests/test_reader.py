@@ -157,3 +157,21 @@ def test_stream_of_nodes(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("nodes").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert [r.feature_id for r in spark.table("nodes").collect()] == ["node/1"]
+
+
+def test_package_exports():
+    import geoloom
+
+    assert all(callable(getattr(geoloom, name)) for name in geoloom.__all__)
+    with pytest.raises(AttributeError):
+        geoloom.nothing
+
+
+def test_geocoding():
+    from geoloom.cli import geocode
+    from geoloom.errors import QueryNotGeocodedError
+
+    answer = {"features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 1]}}, {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}]}
+    assert regions.bounds(geocode("x", lambda url: json.dumps(answer))) == (0, 0, 1, 1)
+    with pytest.raises(QueryNotGeocodedError):
+        geocode("x", lambda url: None)
