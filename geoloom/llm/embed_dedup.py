@@ -33,6 +33,8 @@ from geoloom.llm.components import connected_components, settle
 COSINE = 0.9
 #: Vectors in a block, dimensions of the grid, and vectors of a part that is multiplied out.
 BLOCK, GRID, PART = 4096, 4, 512
+#: Bytes of a block's vectors; wide vectors make blocks of fewer rows, of a part at least.
+BLOCK_BYTES = 8 << 20
 #: Rounding of projections and boxes.
 SLACK = 1e-6
 
@@ -132,6 +134,7 @@ def join_blocks(a: tuple, b: tuple, axes: np.ndarray, cosine: float, same: bool)
 def _blocks(width: int, axes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, held, rows = TaskContext.get().partitionId(), 0, [], 0
+        size = min(BLOCK, max(PART, BLOCK_BYTES // (4 * width)))
 
         def cut(t: pa.Table) -> pa.RecordBatch:
             nonlocal place
@@ -145,10 +148,10 @@ def _blocks(width: int, axes: np.ndarray):
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            while rows >= BLOCK:
+            while rows >= size:
                 t = pa.Table.from_batches(held)
-                yield cut(t.slice(0, BLOCK))
-                held, rows = t.slice(BLOCK).to_batches(), rows - BLOCK
+                yield cut(t.slice(0, size))
+                held, rows = t.slice(size).to_batches(), rows - size
         if rows:
             yield cut(pa.Table.from_batches(held))
 
