@@ -8,7 +8,8 @@ such an element the region with most text that isn't in links is kept, with othe
 of its size.
 
 The whole page is read. Null or empty html gives an empty text. Broken markup is read as far as it goes: an open tag
-at the end of a page is dropped. Repeated rows are kept, an empty table gives an empty result.
+at the end of a page is dropped. An element whose end tag is missing ends where its parent does, or, where HTML lets the end tag be
+omitted, at a sibling; without such an end it isn't dropped. Only scripts, styles, text areas and comments run to the end. Repeated rows are kept, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +31,29 @@ REGION_SHARE = 0.2
 LINK_SHARE = 0.5
 
 #: Fixed lists of HTML element names.
-_RAW = "script style noscript template svg math iframe object canvas textarea select head title"
+_RAW = "script style textarea"
+_EMBEDDED = frozenset("noscript template svg math iframe object canvas select head title".split())
 _DROPPED = frozenset("nav footer aside form button dialog menu label fieldset".split())
 _BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul aside dialog menu".split()
 )
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Elements whose end tag may be missing.
+_OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot caption option optgroup head".split())
+_ROWS = ("tr", "td", "th")
+#: What a start tag ends if it is open, inside the innermost of the elements after it.
+_CELL = ("table", "td", "th", "caption", "button", "object", "template")
+_ENDS = {
+    **{b: (("p",), _CELL) for b in _BLOCKS - {"html", "body"}},
+    "li": (("p", "li"), ("ul", "ol", "menu", *_CELL)),
+    **dict.fromkeys(("dt", "dd"), (("p", "dt", "dd"), ("dl", *_CELL))),
+    **dict.fromkeys(("td", "th"), (("td", "th", "caption"), ("table",))),
+    "tr": ((*_ROWS, "caption"), ("table",)),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", "caption", *_ROWS), ("table",))),
+    "option": (("option",), ("select",)),
+    "optgroup": (("option", "optgroup"), ("select",)),
+}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark other content than the article.
 _MARKED = re.compile(
@@ -48,7 +66,9 @@ _MARKED = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Attributes up to the end of a tag. Quotes without a partner are plain signs, and nothing is tried twice, so time is linear.
 _REST = r"""(?:[^>"']++|"[^"]*"|'[^']*'|["'])*+"""
-_NOISE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(_RAW.split())})\b{_REST}(?:>|\Z).*?(?:</\1\s*>|\Z)", re.I | re.S)
+_NOISE = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(_RAW.split())})(?=[\s/>]){_REST}(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)", re.I | re.S
+)
 _TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_REST})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)")
 
 
@@ -61,12 +81,91 @@ def _is_marked(attributes: str) -> bool:
     return any(_MARKED.search(n) and not _LAYOUT.match(n) for n in names)
 
 
+def _stands_alone(tag: re.Match) -> bool:
+    return tag[2].lower() in _VOID or tag[3].endswith("/")
+
+
+def ends(page: str, tags: list[re.Match]) -> list[tuple[int, int] | None]:
+    """(number of the next tag, place in the page) after the element of each start tag; None where nothing ends it.
+
+    Tags are those of the page in order. Elements with optional end tags end with the page at the latest.
+    """
+    out: list[tuple[int, int] | None] = [None] * len(tags)
+    opened: list[int] = []
+    places: dict[str, list[int]] = {}  # of the open elements of a name, in ``opened``
+    blocks: list[int] = []
+    name_of = [(t[2] or "").lower() for t in tags]
+    marks = [k for k, n in enumerate(name_of) if n in ("title", "head", "body")]
+    titled = {a for a, b in zip(marks, marks[1:]) if name_of[a] == name_of[b] == "title" and not tags[a][1] and tags[b][1]}
+
+    def last(*names: str) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def cut(to: int, k: int, at: int) -> None:
+        while len(opened) > to:
+            o = opened.pop()
+            out[o] = k, at
+            places[name_of[o]].pop()
+            if blocks and blocks[-1] == len(opened):
+                blocks.pop()
+
+    at = 0
+    for k, tag in enumerate(tags):
+        name, close, begin = name_of[k], bool(tag[1]), tag.start()
+        top = name_of[opened[-1]] if opened else ""
+        if top == "head" and page[at:begin].strip():
+            cut(len(opened) - 1, k, at)
+            top = ""
+        at = tag.end()
+        if not name:
+            continue
+        if top == "title" and name != "title":
+            # its text has no tags; without an end tag it ends with the head
+            if opened[-1] in titled or not (name in ("head", "body") or name in _BLOCKS):
+                continue
+            cut(len(opened) - 1, k, begin)
+            top = name_of[opened[-1]] if opened else ""
+        if close:
+            own = last(name)
+            if own < 0 or name in ("html", "body"):
+                continue
+            if name in ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"):
+                wall = last("table")
+            elif name in _BLOCKS or name in _EMBEDDED or name == "button":
+                wall = last("ul", "ol", *_CELL) if name == "li" else last(*_CELL)
+            else:
+                wall = blocks[-1] if blocks else -1
+            if own >= wall:
+                cut(own + 1, k, begin)
+                cut(own, k + 1, at)
+            continue
+        if name == "body" or (top == "head" and name not in _IN_HEAD):
+            head = last("head")
+            if head >= 0:
+                cut(head, k, begin)
+        if name in _ENDS:
+            ended, within = _ENDS[name]
+            wall = last(*within)
+            cut(min((p for n in ended if (p := last(n)) > wall), default=len(opened)), k, begin)
+        if _stands_alone(tag) or name in ("html", "body"):
+            continue
+        places.setdefault(name, []).append(len(opened))
+        if name in _BLOCKS or name == "button":
+            blocks.append(len(opened))
+        opened.append(k)
+    if opened and name_of[opened[-1]] == "head" and page[at:].strip():
+        cut(len(opened) - 1, len(tags), at)
+    for o in opened:
+        if name_of[o] in _OPTIONAL:
+            out[o] = len(tags), len(page)
+    return out
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters of it in links, inside an article) of each block; dropped markup gives blank lines."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = depth = link = 0
-    skip, nested = "", 0
 
     def end() -> None:
         nonlocal linked
@@ -76,9 +175,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         text.clear()
         linked = 0
 
-    page, at = _NOISE.sub(lambda m: " " if m[1] is None or m[1].lower() != "head" else "\n", page), 0
-    for m in _TAG.finditer(page):
-        if not skip and m.start() > at:
+    page, at = _NOISE.sub(" ", page), 0
+    tags = list(_TAG.finditer(page))
+    ended, until = ends(page, tags), 0
+    for k, m in enumerate(tags):
+        if k < until:
+            continue
+        if m.start() > at:
             text.append(page[at : m.start()])
             if link:
                 linked += m.start() - at
@@ -86,14 +189,6 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if m[2] is None:
             continue
         close, name = bool(m[1]), m[2].lower()
-        if skip:
-            nested += (name == skip) * (-1 if close else 1)
-            if nested == 0 or (skip == "p" and not close and name in _BLOCKS):
-                skip, nested = "", 0
-                if close:
-                    continue
-            else:
-                continue
         if close:
             link = max(0, link - (name == "a"))
             if name in _BLOCKS:
@@ -105,18 +200,22 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name == "br":
             text.append(" ")
         link += name == "a"
-        if name in _VOID or name in ("html", "body") or m[3].endswith("/"):
+        if _stands_alone(m) or name in ("html", "body"):
             continue
         if name in ("article", "main"):
             if name == "main" or not _is_marked(m[3]):
                 depth += 1
                 continue
-        if name in _DROPPED or (name == "header" and not depth) or _is_marked(m[3]):
-            end()
-            out += [("", 0, False)] * WINDOW
-            skip, nested = name, 1
-    if not skip:
-        text.append(page[at:])
+        embedded = name in _EMBEDDED
+        if ended[k] is not None and (embedded or name in _DROPPED or (name == "header" and not depth) or _is_marked(m[3])):
+            if embedded:
+                text.append(" ")
+            else:
+                end()
+                out += [("", 0, False)] * WINDOW
+                link -= name == "a"
+            until, at = ended[k]
+    text.append(page[at:])
     end()
     return out
 

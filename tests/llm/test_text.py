@@ -371,6 +371,35 @@ def test_main_text(around, markup):
     assert html_main.main_text(around.replace("{}", markup.format(*ARTICLE))) == PLAIN
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><body><article><p>one</p><p>two</p></article></body></html>", "one\ntwo"),
+        ("<head><title>t<body><p>one</p><p>two</p>", "one\ntwo"),
+        ("<head><title>a <p> b</title><meta charset=x><p>one", "one"),
+        ("<head><title>t</title>one<p>two", "one\ntwo"),
+        ("<head><title>t</title>one", "one"),
+        ('<p>One <svg class="i"/> two</p><p>three</p>', "One two\nthree"),
+        ('<p>One <svg class="i"> two</p><p>three</p>', "One\nthree"),
+        ("<p>One <math><mi>x</mi></math> two</p><select><option>a<option>b</select><p>three</p>", "One two\nthree"),
+        ("<head-line>one</head-line><p>two <title-x>three</title-x></p><script-x>four</script-x>", "one\ntwo three\nfour"),
+        ('<ul><li class="share">a<li>b</ul><p>one</p>', "b\none"),
+        ('<ul><li class="share">a</ul><p>one</p>', "one"),
+        ('<dl><dt>a<dd class="share">b<dt>c<dd>d</dl><p>one</p>', "a\nc\nd\none"),
+        ('<table><tr><td class="ad">a<td>b<tr class="ad"><td>c<tr><td>d</table><p>one</p>', "b\nd\none"),
+        ('<ul><li class="share">a<ul><li>b</ul><li>c</ul>', "c"),
+        ('<div><nav><a href="/">m</a></div><p>one</p>', "one"),
+        ("<form><p>one</p><p>two</p>", "one\ntwo"),
+        ('<div><div class="ad">a<div>b</div></div><p>one</p></div>', "one"),
+        ("<!--><p>one</p>", "one"),
+        ("<p>one</p><script>x <p>two</p>", "one"),
+        ("<p>one</p><!-- x <p>two</p>", "one"),
+    ],
+)
+def test_elements_end_where_html_ends_them(page, text):
+    assert html_main.main_text(page) == text
+
+
 def test_pages_against_their_article(spark):
     import html
 
