@@ -5,11 +5,13 @@ headers and footers, sidebars, notices, adverts, comments) leaves blank lines. T
 window of lines. Where the sum rises from nothing there is a surge point, where it falls back to nothing
 a dive point, and the lines between form a candidate region. Regions inside an article or main element are kept; without
 such an element the region with most text that isn't in links is kept, with others of at least a fifth
-of its size.
+of its size, and, whatever their size, with those in the container that holds most of it (at the top of the page: with those that
+stand there themselves) and headings of links that lead to a kept line. Dropped markup inside that container leaves no gap.
 
 The whole page is read. Null or empty html gives an empty text. Broken markup is read as far as it goes: an open tag
 at the end of a page is dropped. An element whose end tag is missing ends where its parent does, or, where HTML lets the end tag be
-omitted, at a sibling; without such an end it isn't dropped. Only scripts, styles, text areas and comments run to the end. Repeated rows are kept, an empty table gives an empty result.
+omitted, at a sibling; without such an end it isn't dropped. Only scripts, styles, text areas and comments run to the end. Repeated rows are kept, an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +43,11 @@ _BLOCKS = frozenset(
 _IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Elements whose end tag may be missing.
 _OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot caption option optgroup head".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Lines and parts of an article; their container is further out.
+_INNER = _HEADINGS | frozenset(
+    "p pre li dt dd ul ol dl blockquote address center figure figcaption section summary details legend table tbody thead tfoot tr td th hr html body".split()
+)
 _ROWS = ("tr", "td", "th")
 #: What a start tag ends if it is open, inside the innermost of the elements after it.
 _CELL = ("table", "td", "th", "caption", "button", "object", "template")
@@ -85,12 +92,14 @@ def _stands_alone(tag: re.Match) -> bool:
     return tag[2].lower() in _VOID or tag[3].endswith("/")
 
 
-def ends(page: str, tags: list[re.Match]) -> list[tuple[int, int] | None]:
-    """(number of the next tag, place in the page) after the element of each start tag; None where nothing ends it.
+def ends(page: str, tags: list[re.Match]) -> tuple[list[tuple[int, int] | None], list[int], list[int]]:
+    """How the elements of a page lie.
 
-    Tags are those of the page in order. Elements with optional end tags end with the page at the latest.
+    (number of the next tag, place in the page) after the element of each start tag, None where nothing ends it; the start tag of the
+    element around each start tag, and around the text before each tag and after the last one, -1 at the top. Tags are those of the page in order. Elements with optional end tags end with the page at the latest.
     """
     out: list[tuple[int, int] | None] = [None] * len(tags)
+    parent, home = [-1] * len(tags), [-1] * (len(tags) + 1)
     opened: list[int] = []
     places: dict[str, list[int]] = {}  # of the open elements of a name, in ``opened``
     blocks: list[int] = []
@@ -116,7 +125,7 @@ def ends(page: str, tags: list[re.Match]) -> list[tuple[int, int] | None]:
         if top == "head" and page[at:begin].strip():
             cut(len(opened) - 1, k, at)
             top = ""
-        at = tag.end()
+        at, home[k] = tag.end(), opened[-1] if opened else -1
         if not name:
             continue
         if top == "title" and name != "title":
@@ -152,37 +161,45 @@ def ends(page: str, tags: list[re.Match]) -> list[tuple[int, int] | None]:
         places.setdefault(name, []).append(len(opened))
         if name in _BLOCKS or name == "button":
             blocks.append(len(opened))
+        parent[k] = opened[-1] if opened else -1
         opened.append(k)
     if opened and name_of[opened[-1]] == "head" and page[at:].strip():
         cut(len(opened) - 1, len(tags), at)
+    home[-1] = opened[-1] if opened else -1
     for o in opened:
         if name_of[o] in _OPTIONAL:
             out[o] = len(tags), len(page)
-    return out
+    return out, parent, home
+
 
+def lines(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[str]]:
+    """Lines, and the parent and name of each element.
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, inside an article) of each block; dropped markup gives blank lines."""
-    out: list[tuple[str, int, bool]] = []
+    A line is (text, characters of it in links, inside an article, element around it) of each block; dropped markup gives blank lines.
+    """
+    out: list[tuple[str, int, bool, int]] = []
     text: list[str] = []
     linked = depth = link = 0
+    around = None
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, around
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            out.append((line, linked, depth > 0))
+            out.append((line, linked, depth > 0, -1 if around is None else around))
         text.clear()
-        linked = 0
+        linked, around = 0, None
 
     page, at = _NOISE.sub(" ", page), 0
     tags = list(_TAG.finditer(page))
-    ended, until = ends(page, tags), 0
+    (ended, parent, home), until = ends(page, tags), 0
     for k, m in enumerate(tags):
         if k < until:
             continue
         if m.start() > at:
             text.append(page[at : m.start()])
+            if around is None and not text[-1].isspace():
+                around = home[k]
             if link:
                 linked += m.start() - at
         at = m.end()
@@ -212,12 +229,43 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 text.append(" ")
             else:
                 end()
-                out += [("", 0, False)] * WINDOW
+                out += [("", 0, False, -1)] * WINDOW
                 link -= name == "a"
             until, at = ended[k]
     text.append(page[at:])
+    if around is None:
+        around = home[-1]
     end()
-    return out
+    return out, parent, [(m[2] or "").lower() for m in tags]
+
+
+def in_container(found: list[tuple[str, int, bool, int]], plain: list[int], largest: tuple[int, int], parent: list[int], name: list[str]) -> list[int]:
+    """Numbers of the lines in the innermost container with more than half of the largest region's unlinked text."""
+    texts = [k for k, line in enumerate(found) if line[0]]
+    inner = lambda e: name[e] in _INNER or name[e] not in _BLOCKS
+    # parents come before their children, so one pass up or down is enough
+    outer, held, weight = [-1] * len(name), [0] * (len(name) + 1), [0] * (len(name) + 1)
+    for e, up in enumerate(parent):
+        outer[e] = (outer[up] if up >= 0 else -1) if inner(e) else e
+    own = {k: outer[found[k][3]] if found[k][3] >= 0 else -1 for k in texts}
+    for k in texts:
+        held[own[k]] += 1
+        weight[own[k]] += plain[k] if largest[0] <= k < largest[1] else 0
+    half = sum(plain[slice(*largest)]) / 2
+    direct = weight[-1] > half
+    for e in range(len(name) - 1, -1, -1):
+        if parent[e] >= 0:
+            held[parent[e]] += held[e]
+            weight[parent[e]] += weight[e]
+    # an element with one line is a line
+    best = -1 if direct else max((e for e in range(len(name)) if not inner(e) and held[e] > 1 and weight[e] > half), default=-1)
+    if best < 0:
+        alone = lambda e: e < 0 or (not direct and held[e] == 1 and (parent[e] < 0 or outer[parent[e]] < 0))
+        return [k for k in texts if alone(own[k])]
+    inside = [False] * len(name)
+    for e in range(best, len(name)):
+        inside[e] = e == best or (parent[e] >= 0 and inside[parent[e]])
+    return [k for k in texts if own[k] >= 0 and inside[own[k]]]
 
 
 def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -237,19 +285,38 @@ def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     """The kept blocks in page order, joined by a newline."""
-    found = lines(page or "")
-    if any(inside for _, _, inside in found):
-        found = [line if line[2] else ("", 0, False) for line in found]
-        kept = regions([len(t) for t, _, _ in found])
-    else:
-        # text of links counts as none, so a list of links is a dive like blank lines
-        every = regions([len(t) - min(len(t), k) for t, k, _ in found])
-        plain = {r: sum(len(t) - min(len(t), k) for t, k, _ in found[r[0] : r[1]]) for r in every}
-        whole = {r: sum(len(t) for t, _, _ in found[r[0] : r[1]]) for r in every}
-        fit = [r for r in every if plain[r] >= (1 - LINK_SHARE) * whole[r]]
-        most = max((plain[r] for r in fit), default=0)
-        kept = [r for r in fit if plain[r] >= REGION_SHARE * most]
-    return "\n".join(t for a, b in kept for t, _, _ in found[a:b] if t)
+    found, parent, name = lines(page or "")
+    if any(line[2] for line in found):
+        return "\n".join(line[0] for line in found if line[2])
+    # text of links counts as none, so a list of links is a dive like blank lines
+    plain = [len(line[0]) - min(len(line[0]), line[1]) for line in found]
+
+    def fit(own: list[int]) -> list[list[int]]:
+        """The regions of these lines that aren't menus."""
+        every = [own[a:b] for a, b in regions([plain[k] for k in own])]
+        return [r for r in every if sum(plain[k] for k in r) >= (1 - LINK_SHARE) * sum(len(found[k][0]) for k in r)]
+
+    every = fit(list(range(len(found))))
+    if not every:
+        return ""
+    sizes = [sum(plain[k] for k in r) for r in every]
+    most = every[sizes.index(max(sizes))]
+    kept = {k for r, n in zip(every, sizes) if n >= REGION_SHARE * max(sizes) for k in r}
+    near = in_container(found, plain, (most[0], most[-1] + 1), parent, name)
+    kept.update(k for r in fit(near) for k in r)
+
+    headed = []
+    for n, up in zip(name, parent):
+        headed.append(n in _HEADINGS or (n not in _BLOCKS and up >= 0 and headed[up]))
+
+    def heads(k: int) -> bool:
+        return found[k][3] >= 0 and headed[found[k][3]]
+
+    for own in (near, range(len(found))):
+        for k, after in zip(reversed(own[:-1]), reversed(own[1:])):
+            if after in kept and found[k][0] and k not in kept and heads(k):
+                kept.add(k)
+    return "\n".join(found[k][0] for k in sorted(kept) if found[k][0])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

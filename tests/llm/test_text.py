@@ -400,6 +400,28 @@ def test_elements_end_where_html_ends_them(page, text):
     assert html_main.main_text(page) == text
 
 
+LONG = "word " * 199 + "word"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div><p>lead</p><div class='ad'>buy</div><p>{LONG}</p></div>", f"lead\n{LONG}"),
+        (f"<div><p>{LONG}</p><aside>buy</aside><p>{LONG}</p><form>send</form><p>last</p></div>", f"{LONG}\n{LONG}\nlast"),
+        (f"<body><p>lead</p><div class='ad'>buy</div><p>{LONG}</p></body>", f"lead\n{LONG}"),
+        (f"<body><div>lead</div><div class='ad'>buy</div><div>{LONG}</div></body>", f"lead\n{LONG}"),
+        (f"<div id=c><section><p>lead</p></section><div class='ad'>buy</div><section><p>{LONG}</p></section></div>", f"lead\n{LONG}"),
+        (f"<div><h1><a href=/>head</a></h1><p>{LONG}</p></div>", f"head\n{LONG}"),
+        (f"<h1><a href=/>head</a></h1><div class=text><p>{LONG}</p><p>{LONG}</p></div>", f"head\n{LONG}\n{LONG}"),
+        (f"<div>{LONG}<br><table class=ad><tr><td>buy</table>last</div>", f"{LONG}\nlast"),
+        (f"<div id=top><p>site</p><p>tag line</p></div><nav>m</nav><div id=c><p>{LONG}</p><p>{LONG}</p></div><nav>m</nav><div id=end><p>right</p><p>of copy</p></div>", f"{LONG}\n{LONG}"),
+        (f"<div><p>{LONG}</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a><li><a href=4>four</a></ul><p>last</p></div>", f"{LONG}\nlast"),
+    ],
+)
+def test_short_regions_of_the_article(page, text):
+    assert html_main.main_text(page) == text
+
+
 def test_pages_against_their_article(spark):
     import html
 
