@@ -36,9 +36,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 # candidates beyond the base patterns
-_VEILED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[(\[{]\s?at\s?[)\]}]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[(\[{]\s?dot\s?[)\]}]|\.)\s?[A-Za-z0-9-]{1,63})+", re.I)
-_ASSIGNED = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s?[:=]\s?[\"']?([^\s\"',;]{6,256})", re.I)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,256}(?![A-Za-z0-9])")
+# of any length: possessive or walked once, so time is linear
+_VEILED_HOST = re.compile(r"\s?[(\[{]\s?at\s?[)\]}]\s?[A-Za-z0-9-]++(?:\s?(?:[(\[{]\s?dot\s?[)\]}]|\.)\s?[A-Za-z0-9-]++)+", re.I)
+_VEILED_LOCAL = _LOCAL | frozenset("\u0130\u0131\u017f\u212a")  # letters without regard to case
+_ASSIGNED = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s?[:=]\s?[\"']?([^\s\"',;]{6,}+)", re.I)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+")
 _LOCAL_CALL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _NUMBERED = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 
@@ -87,6 +89,19 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _veiled(text: str) -> list[tuple[int, int]]:
+    out, free, m = [], 0, _VEILED_HOST.search(text)
+    while m:
+        begin = m.start()
+        while begin > free and text[begin - 1] in _VEILED_LOCAL:
+            begin -= 1
+        if begin < m.start():
+            free = m.end()
+            out.append((begin, free))
+        m = _VEILED_HOST.search(text, max(free, m.start() + 1))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base spans by kind, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
@@ -107,7 +122,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     """Candidates of the wider patterns."""
     out = []
     if "at" in text and ("(" in text or "[" in text or "{" in text):
-        out += [("email", *m.span()) for m in _VEILED.finditer(text)]
+        out += [("email", *s) for s in _veiled(text)]
     if "=" in text or ":" in text:
         out += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
     if _DIGIT.search(text):

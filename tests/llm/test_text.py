@@ -66,6 +66,22 @@ def test_base_spans_of_long_texts(text):
     assert found == sorted(found, key=lambda s: (pii.BASE.index(s[0]), s[1]))
 
 
+@pytest.mark.parametrize("n", [63, 64, 65, 256, 257, 603, 100_000])
+def test_added_spans_cover_the_whole(n):
+    run = "a1b2c3d4e5" * (n // 10 + 1)
+    assert pii.proposals(f"x token={run[:n]} y") == [("secret", 8, 8 + n), ("secret", 8, 8 + n)]
+    assert pii.proposals(f"x {run[:n]} y") == [("secret", 2, 2 + n)]
+    assert [s for s in pii.proposals(f"! {run[:n]} [at] {run[:n]} (dot) org !") if s[0] == "email"] == [("email", 2, 2 * n + 18)]
+    assert [s for s in pii.proposals(f"(at) {run[:n]}.b (at) c.d_e(at)f.g") if s[0] == "email"] == [("email", 5, n + 16), ("email", n + 16, n + 25)]
+
+
+def test_whole_secrets_are_redacted(spark):
+    secret = "A1b2C3d4e5F6" * 50
+    docs = spark.createDataFrame([(1, f"the token={secret} end")], "doc_id long, text string")
+    every = pii.SpanModel(tuple(range(pii.N_CODES)), ())
+    assert pii.redact(docs, every).first().text == "the token=[SECRET] end"
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
