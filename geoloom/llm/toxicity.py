@@ -6,8 +6,7 @@ pools their states; the document's score is that of its highest window. All wind
 
 Training is multiple-instance: a document's window with the highest score so far carries the label. The sample is bounded:
 up to ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` other labelled ids, those with the smallest hashes, of rows whose
-``crc32(id as text) mod 4`` isn't 2; of a training text up to ``TRAIN_WINDOWS`` windows, evenly spread. Scores see
-the text only.
+``crc32(id as text) mod 4`` isn't 2; of a training text all windows take part, in blocks. Scores see the text only.
 
 Null text is empty; a text without words has one blank window and a score like any other. Repeated rows get equal scores, null ids are
 kept (held_out null counts as false). An empty table gives an empty result; without labels every score is 0.
@@ -29,7 +28,7 @@ from geoloom.llm.common import map_parts, texts_of
 
 WINDOW, STEP = 32, 24
 THRESHOLD = 0.3
-MAX_TOXIC, MAX_CLEAN, TRAIN_WINDOWS = 1500, 3000, 64
+MAX_TOXIC, MAX_CLEAN = 1500, 3000
 VOCABULARY = 20_000
 DECAY = 0.01
 WORD_DIM, CHAR_DIM, CHAR_BUCKETS, HIDDEN = 12, 8, 4096, 8
@@ -146,12 +145,39 @@ class Network:
         return g, d_inputs
 
 
-def _windows(ids: np.ndarray, most: int | None = None) -> np.ndarray:
-    starts = np.array(window_starts(len(ids)))
-    if most and len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).astype(np.int64)]
-    padded = np.concatenate([ids, np.zeros(WINDOW, np.int64)])
-    return padded[starts[:, None] + np.arange(WINDOW)]
+def _windows(ids: np.ndarray) -> np.ndarray:
+    padded = np.concatenate([ids, np.zeros(WINDOW, ids.dtype)])
+    return padded[np.array(window_starts(len(ids)))[:, None] + np.arange(WINDOW)]
+
+
+def highest(net: Network, gates: tuple[np.ndarray, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
+    """First word of each text's window with the highest score; about ``ROWS`` windows are in memory at once."""
+    best, pick = np.full(len(docs), -np.inf, np.float32), np.zeros(len(docs), np.int64)
+    waiting: list[tuple[int, int, np.ndarray]] = []
+
+    def flush() -> None:
+        logit, at = net.run(gates, np.concatenate([w for *_, w in waiting])), 0
+        for d, begin, w in waiting:
+            own, at = logit[at : at + len(w)], at + len(w)
+            top = int(np.argmax(own))
+            if own[top] > best[d]:
+                best[d], pick[d] = own[top], begin + top * STEP
+        waiting.clear()
+
+    rows, span = 0, ROWS * STEP
+    for d, ids in enumerate(docs):
+        n = len(window_starts(len(ids)))
+        for k in range(0, n, ROWS):
+            # the words of these windows alone; a block's last window may reach into the next block
+            w = _windows(ids[k * STEP : k * STEP + span + WINDOW - STEP])[: n - k][:ROWS]
+            waiting.append((d, k * STEP, w))
+            rows += len(w)
+            if rows >= ROWS:
+                flush()
+                rows = 0
+    if waiting:
+        flush()
+    return pick
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> Network | None:
@@ -165,11 +191,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     net, rng = Network(vocabulary), np.random.default_rng(seed)
     distinct = sorted(seen)
     number = {w: k + 1 for k, w in enumerate(distinct)}
-    docs = [_windows(np.array([number[w] for w in words], np.int64), TRAIN_WINDOWS).astype(np.int32) for words in listed]
-    first = np.cumsum([0, *map(len, docs)])
-    windows, y = np.concatenate(docs), np.array(labels, np.float32)
-    sizes_of = np.diff(first)
-    del listed, docs, number
+    docs = [np.array([number[w] for w in words], np.int32) for words in listed]
+    sizes_of, y = np.array([len(window_starts(len(d))) for d in docs]), np.array(labels, np.float32)
+    del listed, number
     grams = [net.grams(distinct[k : k + ROWS]) for k in range(0, len(distinct), ROWS)]
     bucket = np.concatenate([b for b, _ in grams]).astype(np.int32)
     at = np.concatenate([a + n for (_, a), n in zip(grams, np.cumsum([0, *(len(b) for b, _ in grams)]))])
@@ -179,15 +203,14 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     step, epochs = 0, max(epochs, math.ceil(STEPS * BATCH / len(sizes_of)))
     for epoch in range(epochs):
         if epoch < epochs // 4:
-            pick = first[:-1] + (rng.random(len(sizes_of)) * sizes_of).astype(np.int64)
+            pick = (rng.random(len(sizes_of)) * sizes_of).astype(np.int64) * STEP
         else:
             gates = net.gates(np.concatenate([blank, net.inputs(distinct)]))
-            logit = np.concatenate([net.run(gates, windows[k : k + ROWS]) for k in range(0, len(windows), ROWS)])
-            pick = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(first[:-1], first[1:])])
+            pick = highest(net, gates, docs)
         order = rng.permutation(len(sizes_of))
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
-            used, local = np.unique(windows[pick[own]], return_inverse=True)
+            used, local = np.unique(np.concatenate([_windows(docs[d][pick[d] : pick[d] + WINDOW])[:1] for d in own]), return_inverse=True)
             if used[0] != 0:
                 used, local = np.concatenate([[0], used]), local + 1
             local = local.reshape(len(own), WINDOW)

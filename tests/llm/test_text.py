@@ -285,6 +285,32 @@ def test_windows_cover_everything():
         assert set(w.ravel().tolist()) - {0} == set(range(1, n + 1)) and len(w) >= 1
 
 
+def test_training_sees_every_window(monkeypatch):
+    rng = np.random.default_rng(4)
+    net = toxicity.Network([])
+    gates = net.gates(np.concatenate([np.zeros((1, toxicity.WORD_DIM + toxicity.CHAR_DIM)), rng.standard_normal((50, toxicity.WORD_DIM + toxicity.CHAR_DIM))]).astype(np.float32))
+    docs = [rng.integers(1, 51, n).astype(np.int32) for n in (0, 1, 31, 32, 33, 56, 57, 4000, 20_000)]
+    for rows in (3, 64, 4096):
+        monkeypatch.setattr(toxicity, "ROWS", rows)
+        for ids, first in zip(docs, toxicity.highest(net, gates, docs)):
+            scores = net.run(gates, toxicity._windows(ids))
+            assert first % toxicity.STEP == 0 and scores[first // toxicity.STEP] >= scores.max() - 1e-5
+
+
+def test_training_scores_all_windows_of_long_texts(monkeypatch):
+    run, rows = toxicity.Network.run, []
+
+    def spy(self, gates, ids, keep=None):
+        if keep is None:
+            rows.append(len(ids))
+        return run(self, gates, ids, keep)
+
+    monkeypatch.setattr(toxicity.Network, "run", spy)
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    assert toxicity.train(["a b c d " * 5000, "a b c e " * 10], [1, 0], epochs=4) is not None
+    assert set(rows) == {len(toxicity.window_starts(20_000)) + len(toxicity.window_starts(40))}
+
+
 def test_toxicity_odd_tables(spark):
     df = docs(spark, [None, "", "a b", "x " * 60_000]).withColumnRenamed("lang", "score")
     labels = spark.createDataFrame([(k, 0, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
