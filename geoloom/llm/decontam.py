@@ -12,7 +12,8 @@ part of it is within ``k = floor(0.2 L)`` word edits of the item (similarity 0.8
 3. Candidates are verified by Myers' bit-parallel edit distance against the window with k more words at each side.
 
 The item tables are broadcast in blocks of bounded size, so what is broadcast is bounded, and each block reads the
-documents once. Items of three to five words match exactly; shorter ones never. Null texts and items are empty. Repeated
+documents once. Items of up to five words have too few trigrams: they are sought by their single words where enough of these
+meet, then verified in the same way, so all of them are found. Null texts and items are empty. Repeated
 rows give repeated results. Without items or documents the result is empty. Whole texts are read.
 """
 
@@ -34,6 +35,8 @@ SIMILARITY = 0.8
 RECALL = 0.99
 #: Items in a broadcast, and characters of their texts.
 BLOCK, BLOCK_CHARS = 20_000, 20_000_000
+#: Items of so many words at most are sought by single words.
+SHORT = 5
 #: Window starts that are looked at in a range; beyond that they are evenly spread, at most k / 8 words apart.
 STARTS = 33
 #: Random walks, sampled positions of an embedding in a key, and the share of positions on which the walks of two texts
@@ -54,8 +57,8 @@ def samples_for(recall: float, agreement: float = AGREEMENT, sampled: int = SAMP
 
 
 def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
-    """Edits of an item of n words; never so many that no trigram has to survive."""
-    return max(0, min(int((1 - similarity) * n + 1e-9), (n - 3) // 3))
+    """Edits of an item of n words; never so many that no trigram, or no word of a short one, has to survive."""
+    return max(0, min(int((1 - similarity) * n + 1e-9), (n - 3) // 3 if n > SHORT else n - 1))
 
 
 def part_distance(item: list[int], text: list[int], at_most: int) -> tuple[int, int]:
@@ -94,8 +97,10 @@ class Items:
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.v = len(self.known) + 1
         grams, owner, offset = [], [], []
+        pairs = np.array([(x, i) for i, w in enumerate(self.words) if len(w) <= SHORT for x in w], np.int64).reshape(-1, 2)
+        self.short_word, self.short_owner = pairs[np.argsort(pairs[:, 0], kind="stable")].T
         for i, w in enumerate(self.words):
-            for k in range(len(w) - 2):
+            for k in range(len(w) - 2 if len(w) > SHORT else 0):
                 grams.append((w[k] * self.v + w[k + 1]) * self.v + w[k + 2])
                 owner.append(i)
                 offset.append(k)
@@ -150,7 +155,7 @@ class Items:
 
     def starts(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first, last start of a window) where enough trigrams of the item meet."""
-        if len(ids) < 3:
+        if len(ids) < 3 or not len(self.distinct):
             return []
         where = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))
         if not len(where):
@@ -182,18 +187,44 @@ class Items:
                 out.append((i, a, b))
         return out
 
+    def short(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, edits, end) of each short item within the limit, where as many of its words meet as have to stay."""
+        if not len(self.short_word) or not len(ids):
+            return
+        met = np.unique(ids[ids > 0])
+        lo, hi = np.searchsorted(self.short_word, met, "left"), np.searchsorted(self.short_word, met, "right")
+        owners = [self.short_owner[a:b] for a, b in zip(lo, hi) if a < b]
+        if not owners:
+            return
+        items, many = np.unique(np.concatenate(owners), return_counts=True)
+        for i in items[many >= self.size[items] - np.array(self.limit, np.int64)[items]].tolist():
+            n, limit = int(self.size[i]), self.limit[i]
+            total = np.concatenate([[0], np.cumsum(np.isin(ids, self.words[i]))])
+            begin = np.arange(len(ids))
+            dense = np.flatnonzero(total[np.minimum(begin + n + limit, len(ids))] - total[:-1] >= n - limit)
+            best = (limit + 1, 0)
+            for part in np.split(dense, np.flatnonzero(np.diff(dense) > 1) + 1):
+                if len(part):
+                    a = int(part[0])
+                    edits, end = part_distance(self.words[i], ids[a : int(part[-1]) + n + limit].tolist(), limit)
+                    best = min(best, (edits, a + end))
+            if best[0] <= limit:
+                yield i, *best
+
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, edits, word at which the part ends) for each text and item within the limit."""
         get = self.known.get
         ids_of: dict[int, np.ndarray] = {}
         ranges: list[tuple[int, int, int, int]] = []
+        best: dict[tuple[int, int], tuple[int, int]] = {}
         for k, text in enumerate(texts):
             ids = np.array([get(w, 0) for w in words_of(text)], np.int64)
+            for i, edits, end in self.short(ids):
+                best[k, i] = edits, end
             found = self.starts(ids)
             if found:
                 ids_of[k] = ids
                 ranges += [(k, *r) for r in found]
-        best: dict[tuple[int, int], tuple[int, int]] = {}
         for at in range(0, len(ranges), 256):
             part = ranges[at : at + 256]
             windows, size, of = [], [], []
@@ -230,7 +261,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         keys, words = [], []
         for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect():
             w = words_of(r.text)
-            if len(w) >= 3:
+            if w:
                 keys.append(r.item_id)
                 words.append([known.setdefault(x, len(known) + 1) for x in w])
         if keys:

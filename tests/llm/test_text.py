@@ -174,6 +174,19 @@ def test_very_long_item(spark):
     assert [(r.doc_id, r.item_id) for r in decontam.contaminations(docs(spark, texts), bench).collect()] == [(0, 1)]
 
 
+def test_short_items():
+    rng = random.Random(8)
+    items = [[rng.randrange(1, 9) for _ in range(n)] for n in (1, 2, 3, 4, 5) for _ in range(6)]
+    known = {str(w).encode(): w for w in range(1, 9)}
+    found = decontam.Items(list(range(len(items))), items, known)
+    texts = [[rng.randrange(1, 12) for _ in range(rng.randrange(40))] for _ in range(60)]
+    got = {(k, i): (edits, end) for k, i, edits, end in found.matches([" ".join(map(str, t)) for t in texts])}
+    for k, text in enumerate(texts):
+        for i, item in enumerate(items):
+            truth = decontam.part_distance(item, text, 9)
+            assert got.get((k, i)) == (truth if truth[0] <= (len(item) == 5) else None)
+
+
 def test_decontaminate_odd_tables(spark):
     texts = ["x one two three four five six seven y", None, "", "One, TWO three; four five six seven!", "one two three", "z " * 50_000 + "one two three four five six seven"]
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (4, "a b"), (5, "one two three")], "item_id long, text string")
