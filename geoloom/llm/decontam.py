@@ -37,8 +37,8 @@ RECALL = 0.99
 BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 #: Items of so many words at most are sought by single words.
 SHORT = 5
-#: Window starts that are looked at in a range; beyond that they are evenly spread, at most k / 8 words apart.
-STARTS = 33
+#: Ranges of fewer window starts are looked at whole; in others starts are max(1, k // 8) words apart. Windows at once.
+STARTS, AT_ONCE = 33, 8192
 #: Random walks, sampled positions of an embedding in a key, and the share of positions on which the walks of two texts
 #: within k edits agree, at least.
 WALKS, SAMPLED, AGREEMENT = 4, 2, 0.4
@@ -61,6 +61,11 @@ def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
     return max(0, min(int((1 - similarity) * n + 1e-9), (n - 3) // 3 if n > SHORT else n - 1))
 
 
+def spread(a: int, b: int, limit: int) -> list[int]:
+    """Starts from a to b, at most limit / 8 words apart, and b itself."""
+    return [*range(a, b, max(1, limit // 8)), b]
+
+
 def part_distance(item: list[int], text: list[int], at_most: int) -> tuple[int, int]:
     """(fewest edits from the item to any part of ``text``, end of that part)."""
     n, ones = len(item), (1 << len(item)) - 1
@@ -225,21 +230,31 @@ class Items:
             if found:
                 ids_of[k] = ids
                 ranges += [(k, *r) for r in found]
+        windows, size, of = [], [], []
+        shared: set[tuple[int, int]] = set()
+
+        def meet() -> None:
+            keys = self.sampled(windows, np.array(size, np.int64)).ravel()
+            lo, hi = np.searchsorted(self.table, keys, "left"), np.searchsorted(self.table, keys, "right")
+            shared.update((of[q // self.samples], int(i)) for q in np.flatnonzero(hi > lo) for i in self.table_item[lo[q] : hi[q]])
+            windows.clear()
+            size.clear()
+            of.clear()
+
         for at in range(0, len(ranges), 256):
             part = ranges[at : at + 256]
-            windows, size, of = [], [], []
+            shared.clear()
             for r, (k, i, a, b) in enumerate(part):
                 ids, n = ids_of[k], int(self.size[i])
                 a, b = max(0, a), max(0, min(b, len(ids) - 1))
-                for s in range(a, b + 1) if b - a < STARTS else np.linspace(a, b, STARTS).astype(np.int64).tolist():
+                for s in range(a, b + 1) if b - a < STARTS else spread(a, b, self.limit[i]):
                     windows.append(ids[s : s + n])
                     size.append(n)
                     of.append(r)
-            if not windows:
-                continue
-            keys = self.sampled(windows, np.array(size, np.int64)).ravel()
-            lo, hi = np.searchsorted(self.table, keys, "left"), np.searchsorted(self.table, keys, "right")
-            shared = {(of[q // self.samples], int(i)) for q in np.flatnonzero(hi > lo) for i in self.table_item[lo[q] : hi[q]]}
+                    if len(windows) == AT_ONCE:
+                        meet()
+            if windows:
+                meet()
             for r, i in shared:
                 k, _, a, b = part[r]
                 limit, n = self.limit[i], int(self.size[i])

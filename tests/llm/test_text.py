@@ -187,6 +187,19 @@ def test_short_items():
             assert got.get((k, i)) == (truth if truth[0] <= (len(item) == 5) else None)
 
 
+def test_starts_stay_close_in_merged_ranges(monkeypatch):
+    line = list(range(1, 17))
+    item = line * 2 + list(range(17, 25))
+    found = decontam.Items([0], [item], {str(w).encode(): w for w in range(1, 25)})
+    rows, sampled = [], found.sampled
+    monkeypatch.setattr(found, "sampled", lambda windows, size: rows.append(len(windows)) or sampled(windows, size))
+    monkeypatch.setattr(decontam, "AT_ONCE", 500)
+    text = " ".join(map(str, line * 500 + list(range(17, 25))))
+    assert [m[:3] for m in found.matches([text])] == [(0, 0, 0)]
+    assert sum(rows) > 7000 and max(rows) == 500  # a window at each word, as 8 edits are allowed
+    assert decontam.spread(3, 60, 33)[-2:] == [59, 60] and max(np.diff(decontam.spread(3, 60, 33))) == 4
+
+
 def test_decontaminate_odd_tables(spark):
     texts = ["x one two three four five six seven y", None, "", "One, TWO three; four five six seven!", "one two three", "z " * 50_000 + "one two three four five six seven"]
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (4, "a b"), (5, "one two three")], "item_id long, text string")
