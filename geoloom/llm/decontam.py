@@ -37,7 +37,7 @@ RECALL = 0.99
 BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 #: Items of so many words at most are sought by single words.
 SHORT = 5
-#: Ranges of fewer window starts are looked at whole; in others starts are max(1, k // 8) words apart. Windows at once.
+#: Ranges of fewer window starts are looked at whole; in others so many or more starts, about k / 8 words apart at most. Windows at once.
 STARTS, AT_ONCE = 33, 8192
 #: Random walks, sampled positions of an embedding in a key, and the share of positions on which the walks of two texts
 #: within k edits agree, at least.
@@ -62,8 +62,8 @@ def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
 
 
 def spread(a: int, b: int, limit: int) -> list[int]:
-    """Starts from a to b, at most limit / 8 words apart, and b itself."""
-    return [*range(a, b, max(1, limit // 8)), b]
+    """``STARTS`` starts from a to b, evenly spread, or as many more as keep them at most max(1, limit // 8) words apart."""
+    return np.linspace(a, b, max(STARTS, 1 - (a - b) // max(1, limit // 8))).astype(np.int64).tolist()
 
 
 def part_distance(item: list[int], text: list[int], at_most: int) -> tuple[int, int]:
