@@ -42,22 +42,12 @@ def is_ring(points: Column) -> Column:
     return is_closed(points) & (F.size(without_repeats(points)) >= 4)
 
 
-def envelope(points: Column) -> Column:
-    """struct x_min, y_min, x_max, y_max."""
-    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(F.array_min(x).alias("x_min"), F.array_min(y).alias("y_min"), F.array_max(x).alias("x_max"), F.array_max(y).alias("y_max"))
-
-
 def signed_area(points: Column) -> Column:
     """Shoelace area of a ring: positive if it runs counter-clockwise."""
     terms = F.transform(F.sequence(F.lit(0), F.size(points) - 2), lambda i: F.get(points, i)["x"] * F.get(points, i + 1)["y"] - F.get(points, i + 1)["x"] * F.get(points, i)["y"])
     return F.when(F.size(points) < 3, F.lit(0.0)).otherwise(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2)
 
 
-def is_ccw(points: Column) -> Column:
-    return signed_area(points) > 0
-
-
 def haversine_length(points: Column, radius: float = 6371008.8) -> Column:
     """Length in metres on a sphere."""
 
@@ -80,18 +70,10 @@ def _listed(points: Column) -> Column:
     return F.array_join(F.transform(points, lambda p: F.concat(_number(p["x"]), F.lit(" "), _number(p["y"]))), ", ")
 
 
-def point_wkt(x: Column, y: Column) -> Column:
-    return F.concat(F.lit("POINT ("), _number(x), F.lit(" "), _number(y), F.lit(")"))
-
-
 def line_wkt(points: Column) -> Column:
     return F.concat(F.lit("LINESTRING ("), _listed(points), F.lit(")"))
 
 
-def polygon_wkt(ring: Column) -> Column:
-    return F.concat(F.lit("POLYGON (("), _listed(ring), F.lit("))"))
-
-
 def in_box(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
     """Inside or on the border of (x_min, y_min, x_max, y_max)."""
     return x.between(box[0], box[2]) & y.between(box[1], box[3])

@@ -1,13 +1,14 @@
-"""Overlay and repair on the JVM, with the JTS library that Spark ships.
+"""Geometry on the JVM, with the JTS library that Spark ships.
 
-Two small Java functions are compiled once with the JDK's compiler and added to the session, which sends them to the
-executors. Without a compiler, geometries stay unrepaired and rings that need overlay are nested as they are; a warning says so.
+Small Java functions are compiled on the driver, against the classes that its JVM itself has loaded, and added to the session,
+which sends them to the executors. Where that isn't possible (without a compiler, say) a warning says so, once, and geometries stay
+unrepaired and rings nested as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
+import atexit
+import importlib.resources
 import shutil
 import subprocess
 import tempfile
@@ -22,50 +23,76 @@ from geoloom.errors import GeometryNotRepairedWarning
 from geoloom.functions import region as regions
 from geoloom.functions.wkb import decode, encode_polygons
 
-_SOURCES = Path(__file__).with_name("java")
-_FUNCTIONS = {"geoloom_overlay": "geoloom.Overlay", "geoloom_repair": "geoloom.Repair"}
-
-
-def _jar() -> Path | None:
-    """The compiled functions, kept by the hash of their source; None without a compiler."""
-    sources = sorted(_SOURCES.glob("*.java"))
-    mark = hashlib.sha256(b"".join(p.read_bytes() for p in sources)).hexdigest()[:12]
-    jar = Path(tempfile.gettempdir()) / f"geoloom-jts-{mark}.jar"
-    javac = shutil.which("javac")
-    if jar.exists() or not javac:
-        return jar if jar.exists() else None
-    import pyspark
-
-    with tempfile.TemporaryDirectory() as out:
-        subprocess.run([javac, "-nowarn", "-d", out, "-cp", os.path.join(os.path.dirname(pyspark.__file__), "jars", "*"), *map(str, sources)], check=True, capture_output=True)
-        part = jar.with_suffix(f".{os.getpid()}")
-        with zipfile.ZipFile(part, "w") as z:
-            for p in sorted(Path(out).rglob("*.class")):
-                z.write(p, p.relative_to(out))
-        part.replace(jar)
+_BOX = "struct<x_min:double,y_min:double,x_max:double,y_max:double>"
+_FUNCTIONS = {"geoloom_way": ("Way", "binary"), "geoloom_area": ("Area", "binary"), "geoloom_box": ("Box", _BOX), "geoloom_inside": ("Inside", "boolean")}
+#: Classes that the functions use, to find the libraries they are in.
+_USED = ("org.locationtech.jts.geom.Geometry", "org.apache.spark.sql.api.java.UDF1", "org.apache.spark.sql.Row", "scala.collection.Seq")
+_jars: dict[int, Path] = {}
+
+
+def _libraries(jvm) -> str:
+    """Class path of the compiler: where the JVM has the classes from, wherever PySpark itself lies."""
+    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    found = [jvm.java.lang.Class.forName(name, False, loader).getProtectionDomain().getCodeSource() for name in _USED]
+    paths = {jvm.java.nio.file.Paths.get(s.getLocation().toURI()).toString() for s in found if s is not None}
+    return jvm.java.io.File.pathSeparator.join(sorted(paths) + [jvm.java.lang.System.getProperty("java.class.path") or ""])
+
+
+def _compiled(spark: SparkSession) -> Path:
+    """A jar of the functions in a folder of this process alone, made once for a JVM."""
+    jvm = spark._jvm
+    mark = id(spark.sparkContext._gateway)
+    if mark in _jars:
+        return _jars[mark]
+    own = Path(jvm.java.lang.System.getProperty("java.home")) / "bin" / "javac"
+    compiler = str(own) if own.exists() else shutil.which("javac")
+    if compiler is None:
+        raise RuntimeError("there is no Java compiler")
+    folder = Path(tempfile.mkdtemp(prefix="geoloom-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = folder / "classes"
+    out.mkdir()
+    source = folder / "Shapes.java"
+    source.write_text(importlib.resources.files("geoloom.functions").joinpath("java", "Shapes.java").read_text())
+    done = subprocess.run([compiler, "-nowarn", "-proc:none", "-d", str(out), "-cp", _libraries(jvm), str(source)], capture_output=True, text=True)
+    if done.returncode:
+        raise RuntimeError(done.stderr[:2000])
+    jar = folder / "geoloom-shapes.jar"
+    with zipfile.ZipFile(jar, "w") as z:
+        for p in sorted(out.rglob("*.class")):
+            z.write(p, p.relative_to(out))
+    _jars[mark] = jar
     return jar
 
 
 def install(spark: SparkSession) -> bool:
     """Add the functions to the session; False, with a warning, if they can't be had."""
-    if spark.catalog.functionExists("geoloom_repair"):
+    if spark.catalog.functionExists("geoloom_area"):
         return True
-    jar = _jar()
-    if jar is None:
-        warnings.warn("No Java compiler: geometries aren't repaired or overlaid.", GeometryNotRepairedWarning, stacklevel=2)
+    try:
+        spark.sql(f"ADD JAR '{_compiled(spark)}'")
+        for name, (java, kind) in _FUNCTIONS.items():
+            spark.udf.registerJavaFunction(name, f"geoloom.Shapes${java}", kind)
+    except Exception as e:  # a session without these functions still works
+        warnings.warn(f"Geometries aren't repaired or overlaid: {e}", GeometryNotRepairedWarning, stacklevel=2)
         return False
-    spark.sql(f"ADD JAR '{jar}'")
-    for name, java in _FUNCTIONS.items():
-        spark.udf.registerJavaFunction(name, java, "binary")
     return True
 
 
-def overlay(outers: Column, inners: Column) -> Column:
-    return F.call_function("geoloom_overlay", outers, inners)
+def way(points: Column, is_area: Column) -> Column:
+    return F.call_function("geoloom_way", points, is_area)
 
 
-def repair(geometry: Column) -> Column:
-    return F.call_function("geoloom_repair", geometry)
+def area(members: Column) -> Column:
+    return F.call_function("geoloom_area", members)
+
+
+def box(geometry: Column) -> Column:
+    return F.call_function("geoloom_box", geometry)
+
+
+def inside(x: Column, y: Column, region: regions.Region) -> Column:
+    return F.call_function("geoloom_inside", x, y, F.lit(bytearray(encode_polygons(region))))
 
 
 class DriverGeometry:

@@ -1,7 +1,7 @@
 """Sewing of lines into rings and nesting of rings into polygons, for the members of one relation.
 
-Pure Python on coordinates. Cases that need overlay (outer rings that overlap or cross, holes that cross an outer ring)
-go to :mod:`geoloom.functions.jts` where it is available.
+Pure Python on coordinates, for regions on the driver and for sessions without :mod:`geoloom.functions.jts`, which does the same
+by overlay.
 """
 
 from __future__ import annotations
@@ -99,32 +99,6 @@ def ring_within(inner: Line, outer: Line) -> bool:
     return bool((where > 0).any()) or abs(area(inner)) <= abs(area(outer))
 
 
-def is_simple(ring: Line) -> bool:
-    """No two segments of the ring cross and no point but the first repeats."""
-    if len(set(ring[:-1])) != len(ring) - 1:
-        return False
-    p = np.asarray(ring, float)
-    return not rings_cross(p, p)
-
-
-def needs_overlay(outers: list[Line], inners: list[Line]) -> bool:
-    """Whether rings touch in a way that nesting alone can't answer."""
-    rings = [*outers, *inners]
-    if not all(map(is_simple, rings)):
-        return True
-    arrays = [np.asarray(r, float) for r in rings]
-    for k, a in enumerate(arrays):
-        for j in range(k + 1, len(arrays)):
-            b = arrays[j]
-            if a[:, 0].max() < b[:, 0].min() or b[:, 0].max() < a[:, 0].min() or a[:, 1].max() < b[:, 1].min() or b[:, 1].max() < a[:, 1].min():
-                continue
-            if rings_cross(a, b) or len({*rings[k]} & {*rings[j]}) > 1:
-                return True
-            if (k < len(outers)) == (j < len(outers)) and (points_in_ring(a, b) > 0).any() | (points_in_ring(b, a) > 0).any():
-                return True
-    return False
-
-
 def polygons(outers: list[Line], inners: list[Line]) -> list[list[Line]]:
     """Each outer ring with the inner rings within it; inner rings within none are dropped.
 

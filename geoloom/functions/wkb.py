@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,10 +108,6 @@ def points_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(encode_points(x.to_numpy(float), y.to_numpy(float)))
 
 
-def _xy(points) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2)
-
-
 @F.pandas_udf(T.BinaryType())
 def ways_wkb(xs: pd.Series, ys: pd.Series, is_area: pd.Series) -> pd.Series:
     """Lines, and polygons of one ring; coordinates as two arrays."""
@@ -126,9 +123,10 @@ def wkb_to_wkt(data: pd.Series) -> pd.Series:
     return data.map(to_wkt)
 
 
-@F.pandas_udf(T.StringType())
-def wkb_type(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: None if d is None else geometry_type(d))
+def wkb_type(geometry: str) -> Column:
+    """Name of a shape's type, from its header; shapes are little-endian."""
+    names = F.array(*[F.lit(NAMES[k]) for k in range(1, 8)])
+    return F.get(names, F.conv(F.hex(F.substring(geometry, 2, 1)), 16, 10).cast("int") - 1)
 
 
 def envelope_of(data: bytes) -> tuple[float, float, float, float]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import batches, jts, topology
 from geoloom.functions.arrays import area_tags, is_ring
-from geoloom.functions.wkb import encode_polygon, encode_polygons, points_wkb, ways_wkb
+from geoloom.functions.wkb import encode_polygons, points_wkb, ways_wkb
 from geoloom.plans.references import Bundle
 from geoloom.schema import AREA_KEYS, AREA_VALUES, LINE_VALUES, PLACES
 
@@ -30,11 +30,13 @@ def is_area(config: dict | None = None) -> Column:
 
 
 def way_features(bundle: Bundle, config: dict | None = None) -> DataFrame:
-    xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-    repaired = jts.install(bundle.ways.sparkSession)
-    rows = bundle.ways.withColumn("area", is_area(config)).withColumn("geometry", ways_wkb(xs, ys, F.col("area")))
-    geometry = F.when(F.col("area"), jts.repair(F.col("geometry"))).otherwise(F.col("geometry")) if repaired else F.col("geometry")
-    return rows.select(feature_id("way").alias("feature_id"), "tags", geometry.alias("geometry"))
+    spark = bundle.ways.sparkSession
+    if jts.install(spark):
+        shape = jts.way(F.col("points"), is_area(config))
+    else:
+        batches.bound(spark)
+        shape = ways_wkb(F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"]), is_area(config))
+    return bundle.ways.select(feature_id("way").alias("feature_id"), "tags", shape.alias("geometry"))
 
 
 def relation_parts(members: list[tuple[str | None, topology.Line]]) -> tuple[list[topology.Line], list[topology.Line]] | None:
@@ -56,52 +58,33 @@ def relation_parts(members: list[tuple[str | None, topology.Line]]) -> tuple[lis
     return [p for r, p in parts if r == "outer"], [p for r, p in parts if r == "inner"]
 
 
-_PARTS = "id long, geometry binary, outers array<binary>, inners array<binary>"
-
-
-def _assembled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nested(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without JTS: rings nested as they are."""
     for b in rows:
-        ids, done, outers, inners = [], [], [], []
+        ids, out = [], []
         for key, members in zip(b.column("id").to_pylist(), b.column("members").to_pylist()):
-            lines = [(m["role"], [(x, y) for x, y in zip(m["xs"], m["ys"])]) for m in sorted(members, key=lambda m: m["idx"])]
-            found = relation_parts(lines)
-            if found is None or not found[0]:
-                continue
-            ids.append(key)
-            if topology.needs_overlay(*found):
-                done.append(None)
-                outers.append([encode_polygon([r]) for r in found[0]])
-                inners.append([encode_polygon([r]) for r in found[1]])
-            else:
-                done.append(encode_polygons(topology.polygons(*found)))
-                outers.append(None)
-                inners.append(None)
+            found = relation_parts([(m["role"] or None, [(p["x"], p["y"]) for p in m["points"]]) for m in sorted(members, key=lambda m: m["idx"])])
+            shapes = topology.polygons(*found) if found else []
+            if shapes:
+                ids.append(key)
+                out.append(encode_polygons(shapes))
         if ids:
-            kind = pa.list_(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(done, pa.binary()), pa.array(outers, kind), pa.array(inners, kind)], ["id", "geometry", "outers", "inners"])
-
-
-def _nested(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Without overlay: rings nested as they are."""
-    from geoloom.functions.wkb import decode
-
-    for b in rows:
-        out = []
-        for done, outer, inner in zip(*(b.column(c).to_pylist() for c in ("geometry", "outers", "inners"))):
-            out.append(done or encode_polygons(topology.polygons(*([decode(r)[1][0] for r in rings] for rings in (outer, inner)))))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "geometry"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "geometry"])
 
 
 def relation_geometry(members: DataFrame, ways: DataFrame) -> DataFrame:
-    """(id, geometry) of the relations whose parts close."""
-    batches.bound(members.sparkSession)
-    xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-    rows = members.join(ways.select(F.col("id").alias("ref"), "points"), "ref")
-    row = F.struct(F.col("ref_idx").alias("idx"), F.col("ref_role").alias("role"), xs.alias("xs"), ys.alias("ys"))
-    parts = rows.groupBy("id").agg(F.collect_list(row).alias("members")).mapInArrow(_assembled, _PARTS)
-    if not jts.install(members.sparkSession):
-        return parts.mapInArrow(_nested, "id long, geometry binary")
-    return parts.select("id", F.coalesce("geometry", jts.overlay(F.col("outers"), F.col("inners"))).alias("geometry")).filter("geometry is not null")
+    """(id, geometry) of the relations that have all their ways and whose parts close.
+
+    One join and one aggregation: a relation's members are listed and found complete together.
+    """
+    spark = members.sparkSession
+    rows = members.join(ways.select(F.col("id").alias("ref"), "points"), "ref", "left")
+    row = F.struct(F.col("ref_idx").cast("int").alias("idx"), F.col("ref_role").alias("role"), "points")
+    whole = rows.groupBy("id").agg(F.collect_list(row).alias("members"), F.count_if(F.col("points").isNull()).alias("missing")).filter("missing = 0")
+    if jts.install(spark):
+        return whole.select("id", jts.area(F.col("members")).alias("geometry")).filter("geometry is not null")
+    batches.bound(spark)
+    return whole.select("id", "members").mapInArrow(_nested, "id long, geometry binary")
 
 
 def relation_features(bundle: Bundle) -> DataFrame:

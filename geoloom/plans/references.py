@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom.functions import jts
 from geoloom.functions import region as regions
 from geoloom.functions.arrays import in_box, in_rings, point
 from geoloom.functions.tags import elements_with_ids, filter_column, has_tags, strip_metadata
@@ -28,8 +29,9 @@ NATIVE_EDGES = 64
 class Bundle:
     """What features are made of; all frames are lazy.
 
-    ``nodes``: id, tags, lat, lon. ``ways``: id, tags, raw_tags, points of wanted ways. ``relations``: id, tags.
-    ``members``: id, ref, ref_role, ref_idx of valid relations. ``member_ways``: id, points of ways that relations need.
+    ``nodes``: id, tags, lat, lon. ``ways``: id, tags, raw_tags, points of wanted ways. ``relations``: id, tags of wanted relations.
+    ``members``: id, ref, ref_role, ref_idx of theirs. ``member_ways``: id, points of the ways among them that have all nodes;
+    relations that miss one have no geometry.
     """
 
     nodes: DataFrame
@@ -117,6 +119,9 @@ def in_region(nodes: DataFrame, region: regions.Region) -> DataFrame:
     if len(region) == 1 and sum(len(r) for p in region for r in p) <= NATIVE_EDGES:
         return near.filter(in_rings(F.col("lon"), F.col("lat"), region[0]))
 
+    if jts.install(nodes.sparkSession):
+        return near.filter(jts.inside(F.col("lon"), F.col("lat"), region))
+
     @F.pandas_udf(T.BooleanType())
     def inside(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(regions.contains(region, x.to_numpy(np.float64), y.to_numpy(np.float64)))
@@ -157,13 +162,10 @@ def resolve(elements: DataFrame, flat: dict | None = None, sql: str | None = Non
     points = way_points(node_refs(flagged), nodes).filter("whole").select("id", "points")
     lines = flagged.select("id", "asked", "needed", "tags", "raw_tags").join(points, "id")
 
-    member_ways = lines.filter("needed").select("id", "points")
-    r_valid = with_all_parts(members, member_ways)
-    members = members.join(r_valid, "id", "left_semi")
     return Bundle(
         n_wanted.filter(has_tags()).select("id", "tags", "lat", "lon"),
         lines.filter(F.col("asked") & has_tags()).select("id", "tags", "raw_tags", "points"),
-        r_wanted.filter(has_tags()).select("id", "tags").join(r_valid, "id", "left_semi"),
+        r_wanted.filter(has_tags()).select("id", "tags"),
         members,
-        member_ways,
+        lines.filter("needed").select("id", "points"),
     )

@@ -6,15 +6,24 @@ Parts are nodes, orders ways, customers relations (:mod:`geoloom.plans.star`).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom import sink
 from geoloom.functions import arrays, tags
+from geoloom.functions import region as regions
+from geoloom.functions.jts import DriverGeometry
+from geoloom.functions.wkb import decode, wkb_to_wkt, wkb_type
 from geoloom.operators import dedupe, ordering
-from geoloom.plans import references, star
+from geoloom.operators import extracts as search
+from geoloom.plans import features, references, star
 from geoloom.plans.star import tags_text, tags_text_sql
+from geoloom.sink import box_of
+from geoloom.sources import extracts as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -298,6 +307,13 @@ def _lines(spark, d):
     return references.way_points(references.node_refs(references.way_view(e)), references.node_view(e)).filter("whole")
 
 
+def _shapes(spark, d):
+    """Lines of all ways as features."""
+    return features.way_features(references.Bundle(None, _lines(spark, d).select("id", F.lit(None).cast("map<string,string>").alias("tags"), F.lit(None).cast("map<string,string>").alias("raw_tags"), "points"), None, None, None)).select(
+        F.substring_index("feature_id", "/", -1).cast("long").alias("id"), "geometry"
+    )
+
+
 @query(_POINTS + f" select 'way/' || id as feature_id, {_WKT} as wkt from deduped where whole")
 def way_linestrings(spark, d):
     return _lines(spark, d).select(F.concat(F.lit("way/"), F.col("id").cast("string")).alias("feature_id"), arrays.line_wkt(F.col("points")).alias("wkt"))
@@ -312,13 +328,12 @@ def point_arrays(spark, d):
 @query(_POINTS + """ select id, list_min(list_transform(points, lambda p: p.x)) as x_min, list_min(list_transform(points, lambda p: p.y)) as y_min,
 list_max(list_transform(points, lambda p: p.x)) as x_max, list_max(list_transform(points, lambda p: p.y)) as y_max from deduped where whole""")
 def way_envelopes(spark, d):
-    return _lines(spark, d).select("id", arrays.envelope(F.col("points")).alias("e")).select("id", "e.*")
+    return _shapes(spark, d).select("id", box_of("geometry").alias("e")).select("id", "e.*")
 
 
 @query(_POINTS + """ select min(p.x) as x_min, min(p.y) as y_min, max(p.x) as x_max, max(p.y) as y_max from (select unnest(points) as p from deduped where whole)""")
 def total_extent(spark, d):
-    e = _lines(spark, d).select(arrays.envelope(F.col("points")).alias("e"))
-    return e.agg(F.min("e.x_min").alias("x_min"), F.min("e.y_min").alias("y_min"), F.max("e.x_max").alias("x_max"), F.max("e.y_max").alias("y_max"))
+    return sink.summary(_shapes(spark, d)).select("x_min", "y_min", "x_max", "y_max")
 
 
 @query(_POINTS + """ select id, round(list_sum(list_transform(range(1, len(points)), lambda i: points[i].x * points[i + 1].y - points[i + 1].x * points[i].y)) / 2, 3) + 0.0 as area
@@ -344,83 +359,92 @@ def way_polygon_classifier(spark, d):
     return rows.select("id", (arrays.is_ring(F.col("points")) & arrays.area_tags(F.col("tags"))).alias("is_polygon"))
 
 
-@query(_POINTS + """ select id, 'POLYGON ((' || list_aggregate(list_transform(points, lambda p: """ + _NUM.format("p.x") + " || ' ' || " + _NUM.format("p.y") + """), 'string_agg', ', ') || '))' as wkt,
-""" + f"{STRIPPED_TEXT} as tags " + """from (select d.*, tags from deduped d join ways w using (id)) where whole and len(dd) >= 4 and points[1] = points[-1] and tags['building'] = 'yes' and coalesce(tags['area'], '') <> 'no'""")
-def building_polygons(spark, d):
-    rows = _lines(spark, d).join(star.way_tags(spark, d).filter(tags.filter_column({"building": True})), "id")
-    kept = rows.filter(arrays.is_ring(F.col("points")) & arrays.area_tags(F.col("tags")))
-    return kept.select("id", arrays.polygon_wkt(F.col("points")).alias("wkt"), tags_text(tags.strip_metadata("tags")).alias("tags"))
-
+#: Triangles with an area: polygons that need no repair, so that SQL can give their text.
+_TRIANGLE = "len(dd) = 4 and points[1] = points[-1] and (dd[2].x - dd[1].x) * (dd[3].y - dd[1].y) <> (dd[3].x - dd[1].x) * (dd[2].y - dd[1].y)"
 
-# ---- relation parts
 
+@query(_POINTS + """ select 'way/' || id as feature_id, 'POLYGON ((' || list_aggregate(list_transform(points, lambda p: """ + _NUM.format("p.x") + " || ' ' || " + _NUM.format("p.y") + """), 'string_agg', ', ') || '))' as wkt,
+""" + f"{STRIPPED_TEXT} as tags from (select d.*, tags from deduped d join ways w using (id)) where whole and {_TRIANGLE} and tags['building'] = 'yes' and coalesce(tags['area'], '') <> 'no'")
+def building_polygons(spark, d):
+    b = references.resolve(star.elements(spark, d), flat={"building": True})
+    corners = F.size(arrays.without_repeats(F.col("points")))
+    p = lambda k: F.get(arrays.without_repeats(F.col("points")), F.lit(k))
+    flat = (p(1)["x"] - p(0)["x"]) * (p(2)["y"] - p(0)["y"]) == (p(2)["x"] - p(0)["x"]) * (p(1)["y"] - p(0)["y"])
+    triangles = b.ways.filter(features.is_area() & (corners == 4) & ~flat)
+    return features.way_features(replace(b, ways=triangles)).select("feature_id", wkb_to_wkt("geometry").alias("wkt"), tags_text().alias("tags"))
 
-def _member_rows(spark, d):
-    return references.member_refs(references.relation_view(star.elements(spark, d)))
 
+# ---- relations
+#
+# Orders are rectangles on a grid, each drawn by two ways that have to be merged; customers are the relations of their orders. SQL
+# counts the unit cells of each outer rectangle that no inner rectangle within it covers.
 
 _MULTI = "(select m.* from members m join relations r using (id) where tags['type'] = 'multipolygon')"
 
+_RECTANGLES = """with drawn as (
+  select o_custkey as id, o_orderkey as k, o_orderkey * 7 % 23 as x0, o_orderkey * 13 % 19 as y0, o_orderkey * 7 % 23 + 1 + o_orderkey * 5 % 9 as x1, o_orderkey * 13 % 19 + 1 + o_orderkey * 11 % 8 as y1,
+         case when o_custkey % 7 = 0 then 'inner' when o_orderstatus = 'O' then 'inner' else 'outer' end as said
+  from orders
+), named as (
+  select *, case when bool_or(said = 'outer') over (partition by id) then said else 'outer' end as role, bool_or(k % 97 = 0 or k % 89 = 0) over (partition by id) as broken from drawn
+), rects as (select * from named where not broken), holes as (
+  select o.id, o.k, i.k as hole, i.x0, i.y0, i.x1, i.y1 from rects o join rects i on o.id = i.id and o.role = 'outer' and i.role = 'inner' and i.x0 >= o.x0 and i.y0 >= o.y0 and i.x1 <= o.x1 and i.y1 <= o.y1
+), cells as (
+  select id, k, x, unnest(range(y0, y1)) as y from (select id, k, y0, y1, unnest(range(x0, x1)) as x from rects where role = 'outer')
+), covered as (
+  select distinct id, x, y from cells c where not exists (select 1 from holes h where h.id = c.id and h.k = c.k and h.x0 <= c.x and c.x < h.x1 and h.y0 <= c.y and c.y < h.y1)
+) """
+
+
+def _rectangles(spark, d):
+    """(id, geometry) of the relations; a way of order k is missing if 97 divides k, and ends early if 89 does."""
+    k, n = F.col("o_orderkey"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    grid = star.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("id"), k.alias("k"), n.alias("n"), *[c.cast("double").alias(a) for a, c in {"x0": k * 7 % 23, "y0": k * 13 % 19, "x1": k * 7 % 23 + 1 + k * 5 % 9, "y1": k * 13 % 19 + 1 + k * 11 % 8}.items()],
+        F.when((F.col("o_custkey") % 7 == 0) | (F.col("o_orderstatus") == "O"), "inner").when(F.col("o_orderstatus") == "F", "outer").alias("ref_role"),
+    )
+    at = lambda x, y: arrays.point(x, y)
+    x0, y0, x1, y1 = map(F.col, ("x0", "y0", "x1", "y1"))
+    # no two rectangles of a relation are cut at the same place
+    low, high = x0 + F.col("n") % 400 / 1000, x0 + 0.5 + F.col("n") % 400 / 1000
+    one, two = F.array(at(low, y0), at(x1, y0), at(x1, y1), at(high, y1)), F.array(at(high, y1), at(x0, y1), at(x0, y0), at(low, y0))
+    ways = grid.select(F.explode(F.array(
+        F.struct((F.col("k") * 2).alias("id"), one.alias("points")),
+        F.struct((F.col("k") * 2 + 1).alias("id"), F.when(F.col("k") % 89 == 0, F.slice(two, 1, 3)).otherwise(two).alias("points")),
+    )).alias("w")).select("w.*").filter("id % 2 = 0 or (id - 1) div 2 % 97 <> 0")
+    members = grid.select("id", F.explode(F.array(F.col("k") * 2 + 1, F.col("k") * 2)).alias("ref"), "ref_role").withColumn("ref_idx", F.pmod(F.xxhash64("ref"), F.lit(1 << 30)).cast("int"))
+    return features.relation_geometry(members, ways)
 
-@query(f"select id, bool_or(coalesce(ref_role, 'outer') = 'outer') as any_outer, count(*) as n from {_MULTI} group by id")
-def relation_roles(spark, d):
-    return _member_rows(spark, d).groupBy("id").agg(F.bool_or(F.coalesce("ref_role", F.lit("outer")) == "outer").alias("any_outer"), F.count("*").alias("n"))
-
-
-@query(f"""select id, ref, case when bool_or(coalesce(ref_role, 'outer') = 'outer') over (partition by id) then coalesce(ref_role, 'outer') else 'outer' end as role,
-row_number() over (partition by id order by ref_role nulls first, ref) as geometry_id from {_MULTI}""")
-def relation_part_numbers(spark, d):
-    role = F.coalesce("ref_role", F.lit("outer"))
-    whole, ordered = W.partitionBy("id"), W.partitionBy("id").orderBy(F.col("ref_role").asc_nulls_first(), "ref")
-    return _member_rows(spark, d).select("id", "ref", F.when(F.bool_or(role == "outer").over(whole), role).otherwise("outer").alias("role"), F.row_number().over(ordered).cast("long").alias("geometry_id"))
-
-
-@query(_POINTS + f""" select m.id, bool_and(points[1] = points[-1]) as all_closed, count(*) as n from {_MULTI} m join deduped l on l.id = m.ref where whole and len(dd) >= 4 group by m.id""")
-def relation_closure(spark, d):
-    parts = _member_rows(spark, d).join(_lines(spark, d).select(F.col("id").alias("ref"), "points"), "ref").filter(F.size(arrays.without_repeats(F.col("points"))) >= 4)
-    return parts.groupBy("id").agg(F.bool_and(arrays.is_closed(F.col("points"))).alias("all_closed"), F.count("*").alias("n"))
-
-
-_BOXES = _POINTS + f""", boxes as (
-  select m.id, m.ref, coalesce(ref_role, 'outer') as role, list_min(list_transform(points, lambda p: p.x)) as a, list_min(list_transform(points, lambda p: p.y)) as b,
-         list_max(list_transform(points, lambda p: p.x)) as c, list_max(list_transform(points, lambda p: p.y)) as d
-  from {_MULTI} m join deduped l on l.id = m.ref where whole and len(dd) >= 4
-), pairs as (
-  select o.id, o.ref as outer_ref, i.ref as inner_ref from boxes o join boxes i on o.id = i.id and o.role = 'outer' and i.role = 'inner' and i.a >= o.a and i.b >= o.b and i.c <= o.c and i.d <= o.d
-)"""
 
+@F.pandas_udf("double")
+def _area(shapes: pd.Series) -> pd.Series:
+    def of(kind: str, parts: list) -> float:
+        return sum(map(regions.polygon_area, [parts] if kind == "Polygon" else parts))
 
-def _boxes(spark, d):
-    parts = _member_rows(spark, d).join(_lines(spark, d).select(F.col("id").alias("ref"), "points"), "ref").filter(F.size(arrays.without_repeats(F.col("points"))) >= 4)
-    return parts.select("id", "ref", F.coalesce("ref_role", F.lit("outer")).alias("role"), arrays.envelope(F.col("points")).alias("e"))
+    return shapes.map(lambda s: of(*decode(s)))
 
 
-def _holes(spark, d):
-    boxes = _boxes(spark, d)
-    outer = boxes.filter("role = 'outer'").select("id", F.col("ref").alias("outer_ref"), F.col("e").alias("o"))
-    inner = boxes.filter("role = 'inner'").select("id", F.col("ref").alias("inner_ref"), F.col("e").alias("i"))
-    return outer.join(inner, "id").filter("i.x_min >= o.x_min and i.y_min >= o.y_min and i.x_max <= o.x_max and i.y_max <= o.y_max").select("id", "outer_ref", "inner_ref")
+@query(_RECTANGLES + "select id, count(*)::double as area from covered group by id", base=False)
+def relation_areas(spark, d):
+    return _rectangles(spark, d).select("id", F.round(_area("geometry"), 6).alias("area"))
 
 
-@query(_BOXES + " select * from pairs")
-def inner_within_outer(spark, d):
-    return _holes(spark, d)
+@query(_RECTANGLES + """select id, min(x)::double as x_min, min(y)::double as y_min, max(x + 1)::double as x_max, max(y + 1)::double as y_max from covered group by id""", base=False)
+def relation_extents(spark, d):
+    return _rectangles(spark, d).select("id", box_of("geometry").alias("e")).select("id", "e.*")
 
 
-@query(_BOXES + " select id, ref as outer_ref from boxes anti join pairs on pairs.id = boxes.id and pairs.outer_ref = boxes.ref where role = 'outer'")
-def outer_without_holes(spark, d):
-    outer = _boxes(spark, d).filter("role = 'outer'").select("id", F.col("ref").alias("outer_ref"))
-    return outer.join(_holes(spark, d), ["id", "outer_ref"], "left_anti")
+@query(_RECTANGLES + """select id, count(*)::double as area from covered where id in (select id from rects group by id having bool_and(said = 'inner')) group by id""", base=False)
+def relation_roles(spark, d):
+    """Relations without an outer member: all their parts count as outer."""
+    named = star.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.bool_and((F.col("o_custkey") % 7 == 0) | (F.col("o_orderstatus") == "O")).alias("inner")).filter("inner").select("id")
+    return _rectangles(spark, d).join(named, "id", "left_semi").select("id", F.round(_area("geometry"), 6).alias("area"))
 
 
-@query(_BOXES + """ select id, count(*) as parts, sum(holes)::bigint as holes from (
-  select id, outer_ref, count(*) as holes from pairs group by all union all select id, ref, 0 from boxes anti join pairs on pairs.id = boxes.id and pairs.outer_ref = boxes.ref where role = 'outer'
-) group by id""")
-def outer_parts_united(spark, d):
-    holes = _holes(spark, d)
-    outer = _boxes(spark, d).filter("role = 'outer'").select("id", F.col("ref").alias("outer_ref"))
-    each = outer.join(holes, ["id", "outer_ref"], "left").groupBy("id", "outer_ref").agg(F.count("inner_ref").alias("holes"))
-    return each.groupBy("id").agg(F.count("*").alias("parts"), F.sum("holes").alias("holes"))
+@query(_RECTANGLES + "select distinct id from named where id not in (select id from covered)", base=False)
+def relations_without_area(spark, d):
+    """Relations that miss a way, don't close, or of which nothing is left."""
+    return star.table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct().join(_rectangles(spark, d), "id", "left_anti")
 
 
 # ---- several files
@@ -484,94 +508,88 @@ def sorted_ids(spark, d):
     return star.table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct().orderBy("id")
 
 
-# ---- text (functions of §2.9, K12, S7, C12, C14)
+# ---- names of results
 
 
-@query("""select page_id, regexp_matches(url, '^(ftp|https?|sftp|doi):') as is_url, left(sha256(url), 8) as hash8,
-trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') as slug from pages""", base=False)
-def url_slugs(spark, d):
-    slug = F.regexp_replace(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return star.table(spark, d, "pages").select("page_id", F.col("url").rlike("^(ftp|https?|sftp|doi):").alias("is_url"), F.substring(F.sha2("url", 256), 1, 8).alias("hash8"), slug.alias("slug"))
+@query("""select page_id, regexp_matches(url, '^(ftp|https?|sftp|doi):') as is_url, left(sha256('["' || url || '"]'), 8) as hash8 from pages""", base=False)
+def result_names(spark, d):
+    """Whether an input is remote, and the part of a result's name that the ids asked for give."""
 
+    @F.pandas_udf("is_url boolean, hash8 string")
+    def named(urls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"is_url": urls.map(sources.is_url), "hash8": urls.map(lambda u: sink.result_name(["x"], ids=[u]).split("_")[-1].removesuffix(".parquet"))})
 
-@query("""with recursive tree as (
-  select 'r' || r_regionkey as id, null as parent, r_name as name, r_name as full_name from region
-  union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name, null from nation
-  union all select 's' || s_suppkey, 'n' || s_nationkey, s_name, null from supplier
-), named as (
-  select id, name as full_name from tree where parent is null
-  union all select t.id, n.full_name || '_' || t.name from tree t join named n on t.parent = n.id
-) select id, lower(replace(full_name, ' ', '_')) as full_name from named""", base=False)
-def hierarchical_names(spark, d):
-    from geoloom.operators.hierarchy import full_names
+    return star.table(spark, d, "pages").select("page_id", named("url").alias("n")).select("page_id", "n.*")
 
-    region = star.table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
-    nation = star.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"), F.col("n_name").alias("name"))
-    supplier = star.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("parent"), F.col("s_name").alias("name"))
-    return full_names(region.union(nation).union(supplier))
 
+# ---- an index of extracts (A15-A16, C10-C14, J24, K13, O4-O8): nations are extracts below their regions
 
-@query("""select coalesce(parent, 'root') as parent, count(*) as children, string_agg(name, ',' order by name) as names from (
-  select null as parent, r_name as name from region union all select r_name, n_name from nation join region on n_regionkey = r_regionkey) group by parent""", base=False)
-def children_by_parent(spark, d):
-    from geoloom.operators.hierarchy import children
+_BOXES = """with tiles as (
+  select 'n' || n_nationkey as id, n_name as name, 'r' || n_regionkey as parent, (n_nationkey * 37 % 50)::double as x0, (n_nationkey * 61 % 40)::double as y0, (10 + n_nationkey % 4 * 10)::double as w, (10 + n_nationkey % 3 * 10)::double as h from nation
+  union all select 'r' || r_regionkey, r_name, 'earth', (r_regionkey * 20)::double, 0, 90, 60 from region
+), areas as (
+  select *, 6371.0072 ** 2 * radians(w) * (sin(radians(y0 + h)) - sin(radians(y0))) as area from tiles
+)"""
 
-    region, nation = star.table(spark, d, "region"), star.table(spark, d, "nation")
-    rows = region.select(F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name")).union(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name"))
-    return children(rows)
 
+def _index(spark, d) -> list[sources.Extract]:
+    """Some thirty extracts, however large the other tables are."""
+    nations = [(f"n{r.n_nationkey}", r.n_name, f"r{r.n_regionkey}", r.n_nationkey * 37 % 50, r.n_nationkey * 61 % 40, 10 + r.n_nationkey % 4 * 10, 10 + r.n_nationkey % 3 * 10) for r in star.table(spark, d, "nation").collect()]
+    top = [(f"r{r.r_regionkey}", r.r_name, "earth", r.r_regionkey * 20, 0, 90, 60) for r in star.table(spark, d, "region").collect()]
+    return sources.finished([sources.Extract(i, n, up, "", regions.from_box((x, y, x + w, y + h))) for i, n, up, x, y, w, h in nations + top])
 
-@query("""select p_partkey, starts_with(p_name, 'p') as starts, list_has_all(string_split(p_type, ' '), ['x']) as has_all, p_type like '%A%' as likes,
-regexp_matches(p_brand, '^Brand#[1-3]') as matches, floor(p_size / 7.0)::bigint as f, p_size % 7 as m, round(p_retailprice, 1) as r, coalesce(nullif(p_size, 1), -1) as c from part""", base=False)
-def scalar_functions(spark, d):
-    from geoloom.functions.dialect import install
 
-    install(spark)
-    return star.table(spark, d, "part").selectExpr(
-        "p_partkey", "starts_with(p_name, 'p') as starts", "list_has_all(split(p_type, ' '), array('x')) as has_all", "p_type like '%A%' as likes", "regexp_matches(p_brand, '^Brand#[1-3]') as matches",
-        "cast(floor(p_size / 7.0D) as bigint) as f", "p_size % 7 as m", "round(p_retailprice, 1) as r", "coalesce(nullif(p_size, 1), -1) as c",
-    )
+@query(_BOXES + """ select t.id, 'earth_' || case when p.id is null then '' else lower(replace(p.name, ' ', '_')) || '_' end || lower(replace(t.name, ' ', '_')) as full_name from tiles t left join tiles p on t.parent = p.id""", base=False)
+def hierarchical_names(spark, d):
+    return spark.createDataFrame([(e.id, e.file_name) for e in _index(spark, d)], "id string, full_name string")
 
 
-# ---- extents of an index
+@query(_BOXES + " select id, round(area, 3) as area, row_number() over (order by area, id) as place from areas", base=False)
+def extract_order(spark, d):
+    return spark.createDataFrame([(e.id, round(e.area, 3), k + 1) for k, e in enumerate(_index(spark, d))], "id string, area double, place long")
 
-_TILES = """with tiles as (
-  select n_nationkey as id, n_name as name, (n_nationkey * 37 % 50)::double as x0, (n_nationkey * 61 % 40)::double as y0, (10 + n_nationkey % 4 * 10)::double as w, (10 + n_nationkey % 3 * 10)::double as h from nation
-), scored as (
-  select id, name, w * h as area, greatest(0, least(x0 + w, 42.5) - greatest(x0, 5.5)) * greatest(0, least(y0 + h, 31.25) - greatest(y0, 4.25)) as shared, 37.0::double * 27.0 as target from tiles
-)"""
 
+@query(_BOXES + """ select row_number() over (order by coalesce(p.name, t.name), p.name is not null, t.name) as place, case when p.id is null then '  ' else '    ' end || t.name as line from tiles t left join tiles p on t.parent = p.id""", base=False)
+def extract_tree(spark, d):
+    lines = sources.tree_lines(_index(spark, d), "earth")[1:]
+    return spark.createDataFrame([(k + 1, line.rsplit(" (", 1)[0]) for k, line in enumerate(lines)], "place long, line string")
 
-def _tiles(spark, d):
-    k = F.col("n_nationkey")
-    at = lambda e: e.cast("double")
-    return star.table(spark, d, "nation").select(k.alias("id"), F.col("n_name").alias("name"), at(k * 37 % 50).alias("x0"), at(k * 61 % 40).alias("y0"), at(10 + k % 4 * 10).alias("w"), at(10 + k % 3 * 10).alias("h"))
 
+@query(_BOXES + """, goals as (
+  select r_regionkey as goal, 5.5 + 3 * r_regionkey as a, 4.25 + 2 * r_regionkey as b, 42.5 as c, 31.25 as d from region
+), scored as (
+  select goal, id, area, w * h as own, (c - a) * (d - b) as target, greatest(0, least(x0 + w, c) - greatest(x0, a)) * greatest(0, least(y0 + h, d) - greatest(y0, b)) as shared from areas cross join goals
+) select goal::bigint as goal, id, round(iou, 9) as iou from (
+  select goal, id, shared::double / (own + target - shared) as iou, row_number() over (partition by goal order by round(shared::double / (own + target - shared), 12) desc, area, id) as k from scored where shared > 0) where k = 1""", base=False)
+def best_extract(spark, d):
+    """The first extract of each region's cover."""
+    geometry, index, rows = DriverGeometry(spark), _index(spark, d), []
+    for k in range(5):
+        found, iou = search.cover(geometry, index, regions.from_box((5.5 + 3 * k, 4.25 + 2 * k, 42.5, 31.25)), allow_uncovered=True)[0]
+        rows.append((k, found.id, round(iou, 9)))
+    return spark.createDataFrame(rows, "goal long, id string, iou double")
 
-@query(_TILES + " select id, name, area, round(shared / (area + target - shared), 9) as iou from scored where shared > 0", base=False)
-def box_overlap(spark, d):
-    from geoloom.operators.covers import box_iou
 
-    tiles = _tiles(spark, d).select("id", "name", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"), (F.col("w") * F.col("h")).alias("area"))
-    return box_iou(tiles, (5.5, 4.25, 42.5, 31.25)).filter("iou > 0").select("id", "name", "area", F.round("iou", 9).alias("iou"))
+# ---- scalar functions (§2.9)
 
 
-@query(_TILES + " select id, name from scored where shared > 0 order by shared / (area + target - shared) desc, area, id limit 1", base=False)
-def best_box(spark, d):
-    from geoloom.operators.covers import box_iou
+@query("""select p_partkey, starts_with(p_name, 'p') as starts, list_has_all(string_split(p_type, ' '), ['x']) as has_all, p_type like '%A%' as likes,
+regexp_matches(p_brand, '^Brand#[1-3]') as matches, floor(p_size / 7.0)::bigint as f, p_size % 7 as m, round(p_retailprice, 1) as r, coalesce(nullif(p_size, 1), -1) as c from part""", base=False)
+def scalar_functions(spark, d):
+    from geoloom.functions.dialect import install
 
-    tiles = _tiles(spark, d).select("id", "name", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"), (F.col("w") * F.col("h")).alias("area"))
-    return box_iou(tiles, (5.5, 4.25, 42.5, 31.25)).filter("iou > 0").orderBy(F.desc("iou"), "area", "id").limit(1).select("id", "name")
+    install(spark)
+    return star.table(spark, d, "part").selectExpr(
+        "p_partkey", "starts_with(p_name, 'p') as starts", "list_has_all(split(p_type, ' '), array('x')) as has_all", "p_type like '%A%' as likes", "regexp_matches(p_brand, '^Brand#[1-3]') as matches",
+        "cast(floor(p_size / 7.0D) as bigint) as f", "p_size % 7 as m", "round(p_retailprice, 1) as r", "coalesce(nullif(p_size, 1), -1) as c",
+    )
 
 
 # ---- whole pipelines
 
 
 def _features_text(bundle):
-    from geoloom.functions.wkb import wkb_to_wkt
-    from geoloom.plans.features import all_features
-
-    return all_features(bundle).select("feature_id", tags_text().alias("tags"), wkb_to_wkt("geometry").alias("wkt"))
+    return features.all_features(bundle).select("feature_id", tags_text().alias("tags"), wkb_to_wkt("geometry").alias("wkt"))
 
 
 _NODE_WKT = "'POINT (' || " + _NUM.format("lon") + " || ' ' || " + _NUM.format("lat") + " || ')'"
@@ -579,11 +597,8 @@ _NODE_WKT = "'POINT (' || " + _NUM.format("lon") + " || ' ' || " + _NUM.format("
 
 @query(f"select 'node/' || id as feature_id, {STRIPPED_TEXT} as tags, {_NODE_WKT} as wkt from nodes where {IN_RING} and list_contains(map_keys(tags), 'name:en')")
 def pipeline_nodes(spark, d):
-    from geoloom.functions.wkb import wkb_to_wkt
-    from geoloom.plans.features import node_features
-
     b = references.resolve(star.elements(spark, d), flat={"name:en": True}, region=[[RING]])
-    return node_features(b).select("feature_id", tags_text().alias("tags"), wkb_to_wkt("geometry").alias("wkt"))
+    return features.node_features(b).select("feature_id", tags_text().alias("tags"), wkb_to_wkt("geometry").alias("wkt"))
 
 
 @query(_POINTS + f""" select 'way/' || id as feature_id, {STRIPPED_TEXT} as tags, len(points)::bigint as n_points from (select d.*, tags from deduped d join ways w using (id))
@@ -598,12 +613,26 @@ def pipeline_ways_in_region(spark, d):
 having bool_and(m.ref in (select id from deduped where whole))""")
 def pipeline_relation_members(spark, d):
     b = references.resolve(star.elements(spark, d), flat={"type": "multipolygon"})
-    return b.members.groupBy("id").agg(F.count("*").alias("n_members"))
+    return b.members.join(references.with_all_parts(b.members, b.member_ways), "id", "left_semi").groupBy("id").agg(F.count("*").alias("n_members"))
+
+
+#: Ways that give lines.
+_IS_LINE = """not (len(dd) >= 4 and points[1] = points[-1] and coalesce(tags['area'] <> 'no', true)
+and (coalesce(tags['area'] = 'yes', false) or tags['building'] is not null or coalesce(tags['natural'] not in ('bay','cliff','coastline','ridge','strait','tree_row','valley','no','arete'), false)
+or coalesce(tags['highway'] in ('services','rest_area','platform'), false)))"""
+
+
+@query(_POINTS + f""" select 'node/' || id as feature_id, {STRIPPED_TEXT} as tags, {_NODE_WKT} as wkt from nodes where lat is not null and cardinality({STRIPPED}) > 0
+union all select 'way/' || id, {STRIPPED_TEXT}, {_WKT} from (select d.*, tags from deduped d join ways w using (id)) where whole and cardinality({STRIPPED}) > 0 and {_IS_LINE}""")
+def pipeline_points_and_lines(spark, d):
+    """All features but areas, from the whole plan."""
+    rows = features.all_features(references.resolve(star.elements(spark, d))).filter(wkb_type("geometry").isin("Point", "LineString"))
+    return rows.select("feature_id", tags_text().alias("tags"), wkb_to_wkt("geometry").alias("wkt"))
 
 
 @query()
 def pipeline_features(spark, d):
-    """All features of the ways and nodes, geometry as text; relation geometry has no plain SQL."""
+    """All features, geometry as text; SQL has no repair of areas that cross themselves, which most are in this world."""
     return _features_text(references.resolve(star.elements(spark, d)))
 
 

@@ -10,10 +10,11 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.errors import EmptyResultWarning
+from geoloom.functions import jts
 from geoloom.functions import region as regions
 from geoloom.functions.wkb import wkb_envelope, wkb_to_wkt, wkb_type
 from geoloom.operators import ordering
@@ -30,15 +31,26 @@ def geo_metadata(types: list[str], box: tuple[float, float, float, float] | None
     return json.dumps({"version": "1.1.0", "primary_column": GEOMETRY, "columns": {GEOMETRY: column}, "creator": {"library": creator}})
 
 
+def box_of(geometry: str) -> Column:
+    """struct x_min, y_min, x_max, y_max."""
+    return jts.box(F.col(geometry)) if jts.install(SparkSession.active()) else wkb_envelope(geometry)
+
+
+def summary(features: DataFrame) -> DataFrame:
+    """One row: the extent of all features and their geometry types."""
+    rows = features.select(box_of(GEOMETRY).alias("e"), wkb_type(GEOMETRY).alias("t"))
+    sides = [f(f"e.{c}").alias(c) for f, c in ((F.min, "x_min"), (F.min, "y_min"), (F.max, "x_max"), (F.max, "y_max"))]
+    return rows.agg(*sides, F.sort_array(F.collect_set("t")).alias("types"))
+
+
 def describe(features: DataFrame) -> tuple[list[str], tuple[float, float, float, float] | None]:
     """Geometry types and extent of all features, in one aggregation."""
-    e = features.select(wkb_envelope(GEOMETRY).alias("e"), wkb_type(GEOMETRY).alias("t"))
-    r = e.agg(F.min("e.x_min"), F.min("e.y_min"), F.max("e.x_max"), F.max("e.y_max"), F.sort_array(F.collect_set("t"))).first()
-    return list(r[4]), None if r[0] is None else tuple(r[:4])
+    r = summary(features).first()
+    return list(r.types), None if r.x_min is None else tuple(r[:4])
 
 
 def with_centre(features: DataFrame) -> DataFrame:
-    e = features.withColumn("__e", wkb_envelope(GEOMETRY))
+    e = features.withColumn("__e", box_of(GEOMETRY))
     return e.withColumn("__x", (F.col("__e.x_min") + F.col("__e.x_max")) / 2).withColumn("__y", (F.col("__e.y_min") + F.col("__e.y_max")) / 2).drop("__e")
 
 

@@ -89,8 +89,6 @@ def test_ring_relations():
     assert topology.ring_within([(1, 1), (2, 1), (2, 2), (1, 1)], outer)
     assert not topology.ring_within([(7, 7), (9, 7), (9, 9), (7, 7)], outer)
     assert not topology.ring_within([(10, 10), (11, 10), (11, 11), (10, 10)], outer)
-    assert topology.needs_overlay([outer, [(4, 4), (12, 4), (12, 12), (4, 12), (4, 4)]], [])
-    assert not topology.needs_overlay([outer], [[(1, 1), (2, 1), (2, 2), (1, 1)]])
     assert topology.polygons([outer], [[(20, 20), (21, 20), (21, 21), (20, 20)]]) == [[outer]]
 
 
