@@ -1,17 +1,21 @@
 """Main text of HTML pages by line-block distribution.
 
 A page becomes lines, one per block. Markup that can't hold an article (scripts, styles, forms, menus, page
-headers and footers, sidebars, notices, adverts, comments) leaves blank lines. Text lengths are summed over a sliding
-window of lines. Where the sum rises from nothing there is a surge point, where it falls back to nothing
-a dive point, and the lines between form a candidate region. Regions inside an article or main element are kept; without
-such an element the region with most text that isn't in links is kept, with others of at least a fifth
-of its size, and, whatever their size, with those in the container that holds most of it (at the top of the page: with those that
-stand there themselves) and headings of links that lead to a kept line. Dropped markup inside that container leaves no gap.
-
-The whole page is read. Null or empty html gives an empty text. Broken markup is read as far as it goes: an open tag
-at the end of a page is dropped. An element whose end tag is missing ends where its parent does, or, where HTML lets the end tag be
-omitted, at a sibling; without such an end it isn't dropped. Only scripts, styles, text areas and comments run to the end. Repeated rows are kept, an
-empty table gives an empty result.
+headers and footers, sidebars, notices, adverts, comments) leaves blank lines, and so do the borders of article and main elements.
+Lengths of text outside links are summed over a sliding window of lines. A surge point is where the sums rise from nothing to a share of
+the page's largest sum, a dive point is where they fall back to nothing, and the text between them, with the lines that led up to
+the surge, is kept.
+
+Markup is evidence, in two ways. Sums inside an article or main element count more when the largest is sought, and beside a largest one
+inside such an element only others inside count as surges. And the element that holds the largest surge (the article or main element around it, else the
+container with most of its text; at the top of the page the parts that stand there themselves) is looked at once more without the
+blank lines that dropped markup left in it, and without a least sum: so short parts of an article stay. Headings of links that lead to a
+kept line stay too.
+
+The whole page is read. Null or empty html gives an empty text, and so does a page of links alone. Broken markup is read as far as it
+goes: an open tag at the end of a page is dropped. An element whose end tag is missing ends where its parent does, or, where HTML lets
+the end tag be omitted, at a sibling; without such an end it isn't dropped. Only scripts, styles, text areas and comments run to the
+end. Repeated rows are kept, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +31,14 @@ from geoloom.llm.common import map_batches
 
 #: Lines under the sliding window, and blank lines that dropped markup leaves.
 WINDOW = 3
-#: Share of the largest region that another region needs, where no element marks the article.
-REGION_SHARE = 0.2
-#: A region with more of its text in links than this is a menu.
-LINK_SHARE = 0.5
+#: Share of the page's largest windowed sum at which a sum is a surge.
+SURGE = 0.2
+#: How much more text counts inside an article or main element.
+EVIDENCE = 5
 
 #: Fixed lists of HTML element names.
 _RAW = "script style textarea"
-_EMBEDDED = frozenset("noscript template svg math iframe object canvas select head title".split())
+_EMBEDDED = frozenset("noscript template iframe object canvas select head title desc metadata annotation annotation-xml".split())
 _DROPPED = frozenset("nav footer aside form button dialog menu label fieldset".split())
 _BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -79,6 +83,8 @@ _NOISE = re.compile(
 _TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_REST})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)")
 
 
+#: A letter or digit, as itself or as a character reference.
+_WORDS = re.compile(r"[^\W_]")
 #: Names that only say what a wrapper has or lacks.
 _LAYOUT = re.compile(r"(?:no|has|with|without|hide|show)[-_]", re.I)
 
@@ -89,7 +95,8 @@ def _is_marked(attributes: str) -> bool:
 
 
 def _stands_alone(tag: re.Match) -> bool:
-    return tag[2].lower() in _VOID or tag[3].endswith("/")
+    # a slash at the end of a value without quotes belongs to the value
+    return tag[2].lower() in _VOID or (tag[3].endswith("/") and (tag[3] == "/" or tag[3][-2] in " \t\n\r\f\"'"))
 
 
 def ends(page: str, tags: list[re.Match]) -> tuple[list[tuple[int, int] | None], list[int], list[int]]:
@@ -172,24 +179,28 @@ def ends(page: str, tags: list[re.Match]) -> tuple[list[tuple[int, int] | None],
     return out, parent, home
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[str]]:
+def lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], list[str]]:
     """Lines, and the parent and name of each element.
 
-    A line is (text, characters of it in links, inside an article, element around it) of each block; dropped markup gives blank lines.
+    A line is (text, characters of it outside links, outermost article or main element around it or -1, element around it) of each block;
+    dropped markup and the borders of these elements give blank lines. Signs between links count as none.
     """
-    out: list[tuple[str, int, bool, int]] = []
+    out: list[tuple[str, int, int, int]] = []
     text: list[str] = []
-    linked = depth = link = 0
+    linked = link = 0
+    worded = False
+    articles: list[int] = []
     around = None
 
     def end() -> None:
-        nonlocal linked, around
+        nonlocal linked, around, worded
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            out.append((line, linked, depth > 0, -1 if around is None else around))
+            out.append((line, max(0, len(line) - linked) if worded else 0, articles[0] if articles else -1, -1 if around is None else around))
         text.clear()
-        linked, around = 0, None
+        linked, around, worded = 0, None, False
 
+    gap = [("", 0, -1, -1)] * WINDOW
     page, at = _NOISE.sub(" ", page), 0
     tags = list(_TAG.finditer(page))
     (ended, parent, home), until = ends(page, tags), 0
@@ -202,6 +213,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[
                 around = home[k]
             if link:
                 linked += m.start() - at
+            elif not worded:
+                worded = _WORDS.search(text[-1]) is not None
         at = m.end()
         if m[2] is None:
             continue
@@ -210,7 +223,9 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[
             link = max(0, link - (name == "a"))
             if name in _BLOCKS:
                 end()
-            depth = max(0, depth - (name in ("article", "main")))
+            if articles and name in ("article", "main"):
+                articles.pop()
+                out += [] if articles else gap
             continue
         if name in _BLOCKS:
             end()
@@ -221,25 +236,27 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[
             continue
         if name in ("article", "main"):
             if name == "main" or not _is_marked(m[3]):
-                depth += 1
+                articles.append(k)
+                out += gap if len(articles) == 1 else []
                 continue
         embedded = name in _EMBEDDED
-        if ended[k] is not None and (embedded or name in _DROPPED or (name == "header" and not depth) or _is_marked(m[3])):
+        if ended[k] is not None and (embedded or name in _DROPPED or (name == "header" and not articles) or _is_marked(m[3])):
             if embedded:
                 text.append(" ")
             else:
                 end()
-                out += [("", 0, False, -1)] * WINDOW
+                out += gap
                 link -= name == "a"
             until, at = ended[k]
     text.append(page[at:])
+    worded = worded or (not link and _WORDS.search(text[-1]) is not None)
     if around is None:
         around = home[-1]
     end()
     return out, parent, [(m[2] or "").lower() for m in tags]
 
 
-def in_container(found: list[tuple[str, int, bool, int]], plain: list[int], largest: tuple[int, int], parent: list[int], name: list[str]) -> list[int]:
+def in_container(found: list[tuple[str, int, int, int]], largest: tuple[int, int], parent: list[int], name: list[str]) -> list[int]:
     """Numbers of the lines in the innermost container with more than half of the largest region's unlinked text."""
     texts = [k for k, line in enumerate(found) if line[0]]
     inner = lambda e: name[e] in _INNER or name[e] not in _BLOCKS
@@ -250,8 +267,8 @@ def in_container(found: list[tuple[str, int, bool, int]], plain: list[int], larg
     own = {k: outer[found[k][3]] if found[k][3] >= 0 else -1 for k in texts}
     for k in texts:
         held[own[k]] += 1
-        weight[own[k]] += plain[k] if largest[0] <= k < largest[1] else 0
-    half = sum(plain[slice(*largest)]) / 2
+        weight[own[k]] += found[k][1] if largest[0] <= k < largest[1] else 0
+    half = sum(line[1] for line in found[slice(*largest)]) / 2
     direct = weight[-1] > half
     for e in range(len(name) - 1, -1, -1):
         if parent[e] >= 0:
@@ -268,42 +285,34 @@ def in_container(found: list[tuple[str, int, bool, int]], plain: list[int], larg
     return [k for k in texts if own[k] >= 0 and inside[own[k]]]
 
 
-def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Intervals of lines between a surge of the windowed sums and the dive that follows."""
-    out, begin, total = [], None, 0
+def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first line, end, largest sum) of the lines between each rise of the windowed sums from nothing and the dive that follows."""
+    out, begin, total, most = [], None, 0, 0
     for k, n in enumerate(lengths):
         total += n - (lengths[k - window] if k >= window else 0)
         if total and begin is None:
-            begin = k
-        elif not total and begin is not None:
-            out.append((begin, k - window + 1))
+            begin, most = k, 0
+        most = max(most, total)
+        if not total and begin is not None:
+            out.append((begin, k - window + 1, most))
             begin = None
     if begin is not None:
-        out.append((begin, len(lengths)))
+        out.append((begin, len(lengths), most))
     return out
 
 
 def main_text(page: str | None) -> str:
     """The kept blocks in page order, joined by a newline."""
     found, parent, name = lines(page or "")
-    if any(line[2] for line in found):
-        return "\n".join(line[0] for line in found if line[2])
-    # text of links counts as none, so a list of links is a dive like blank lines
-    plain = [len(line[0]) - min(len(line[0]), line[1]) for line in found]
-
-    def fit(own: list[int]) -> list[list[int]]:
-        """The regions of these lines that aren't menus."""
-        every = [own[a:b] for a, b in regions([plain[k] for k in own])]
-        return [r for r in every if sum(plain[k] for k in r) >= (1 - LINK_SHARE) * sum(len(found[k][0]) for k in r)]
-
-    every = fit(list(range(len(found))))
+    every = regions([line[1] for line in found])
     if not every:
         return ""
-    sizes = [sum(plain[k] for k in r) for r in every]
-    most = every[sizes.index(max(sizes))]
-    kept = {k for r, n in zip(every, sizes) if n >= REGION_SHARE * max(sizes) for k in r}
-    near = in_container(found, plain, (most[0], most[-1] + 1), parent, name)
-    kept.update(k for r in fit(near) for k in r)
+    article = lambda r: max(line[2] for line in found[r[0] : r[1]])
+    best = max(every, key=lambda r: r[2] * (EVIDENCE if article(r) >= 0 else 1))
+    marked = article(best) >= 0
+    kept = {k for r in every if r[2] >= SURGE * best[2] and (article(r) >= 0 or not marked) for k in range(*r[:2])}
+    near = [k for k, line in enumerate(found) if line[2] == article(best)] if marked else in_container(found, best[:2], parent, name)
+    kept.update(near[k] for r in regions([found[k][1] for k in near]) for k in range(*r[:2]))
 
     headed = []
     for n, up in zip(name, parent):

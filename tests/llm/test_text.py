@@ -448,8 +448,9 @@ def test_main_text(around, markup):
         ("<head><title>t</title>one<p>two", "one\ntwo"),
         ("<head><title>t</title>one", "one"),
         ('<p>One <svg class="i"/> two</p><p>three</p>', "One two\nthree"),
-        ('<p>One <svg class="i"> two</p><p>three</p>', "One\nthree"),
-        ("<p>One <math><mi>x</mi></math> two</p><select><option>a<option>b</select><p>three</p>", "One two\nthree"),
+        ('<p>One <svg class="i"> two</p><p>three</p>', "One two\nthree"),
+        ("<p>One <math><mi>x</mi></math> two</p><select><option>a<option>b</select><p>three</p>", "One x two\nthree"),
+        ("<p>One <svg><title>icon</title><text>label</text></svg> two</p>", "One label two"),
         ("<head-line>one</head-line><p>two <title-x>three</title-x></p><script-x>four</script-x>", "one\ntwo three\nfour"),
         ('<ul><li class="share">a<li>b</ul><p>one</p>', "b\none"),
         ('<ul><li class="share">a</ul><p>one</p>', "one"),
@@ -471,6 +472,25 @@ def test_elements_end_where_html_ends_them(page, text):
 LONG = "word " * 199 + "word"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<ul><li class=ad>buy<li>item</ul><p>{LONG}", f"item\n{LONG}"),
+        (f"<table><tr><td class=ad>buy<td>cell</table><p>{LONG}", f"cell\n{LONG}"),
+        (f"<p>{LONG}</p><nav><a href=/>menu</a></nav><p>last</p>", f"{LONG}\nlast"),
+        ("<p>see <a href=1>all of this long text in a link</a></p><p>and <a href=2>this too</a></p>", "see all of this long text in a link\nand this too"),
+        ("<p><a href=1>home</a> | <a href=2>news</a></p>", ""),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>a teaser of another text</p></article>", f"{LONG}\n{LONG}"),
+        (f"<aside data-u=http://a/b/>menu</aside><p>{LONG}</p>", LONG),
+        (f"<main><p>lead</p><aside>x</aside><div><p>{LONG}</p></div><aside>y</aside><p>end</p></main><div><p>about this site</p></div>", f"lead\n{LONG}\nend"),
+        (f"<main><h1>head</h1><article><p>{LONG}</p><nav>m</nav><p>end</p></article></main>", f"head\n{LONG}\nend"),
+        ("<article><p>short</p></article><div><p>some more words about us</p></div>", "short"),
+    ],
+)
+def test_surge_and_dive_decide(page, text):
+    assert html_main.main_text(page) == text
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
@@ -490,6 +510,13 @@ def test_short_regions_of_the_article(page, text):
     assert html_main.main_text(page) == text
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pages_do_not_need_the_article_element(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("html").collect()
+    for h in (r.html for r in rows):
+        assert html_main.main_text(h.replace("<article>", "<div>").replace("</article>", "</div>")) == html_main.main_text(h)
+
+
 def test_pages_against_their_article(spark):
     import html
 
@@ -517,4 +544,4 @@ def test_html_odd_tables(spark):
 
 
 def test_regions():
-    assert html_main.regions([0, 0, 5, 1, 0, 9, 0, 0, 0, 3]) == [(2, 6), (9, 10)]
+    assert html_main.regions([0, 0, 5, 1, 0, 9, 0, 0, 0, 3]) == [(2, 6, 10), (9, 10, 3)]
