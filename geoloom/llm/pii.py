@@ -38,6 +38,7 @@ _DIGIT = re.compile(r"[0-9]")
 # candidates beyond the base patterns
 # of any length: possessive or walked once, so time is linear
 _VEILED_HOST = re.compile(r"\s?[(\[{]\s?at\s?[)\]}]\s?[A-Za-z0-9-]++(?:\s?(?:[(\[{]\s?dot\s?[)\]}]|\.)\s?[A-Za-z0-9-]++)+", re.I)
+_VEILED_MARK = re.compile(r"[(\[{]\s?at", re.I)
 _VEILED_LOCAL = _LOCAL | frozenset("\u0130\u0131\u017f\u212a")  # letters without regard to case
 _ASSIGNED = re.compile(r"\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s?[:=]\s?[\"']?([^\s\"',;]{6,}+)", re.I)
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+")
@@ -121,7 +122,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Candidates of the wider patterns."""
     out = []
-    if "at" in text and ("(" in text or "[" in text or "{" in text):
+    if _VEILED_MARK.search(text):
         out += [("email", *s) for s in _veiled(text)]
     if "=" in text or ":" in text:
         out += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]

@@ -82,6 +82,11 @@ def test_whole_secrets_are_redacted(spark):
     assert pii.redact(docs, every).first().text == "the token=[SECRET] end"
 
 
+def test_veiled_addresses_in_any_case():
+    for text in ("john.doe (at) site (dot) com", "JOHN.DOE (AT) SITE (DOT) COM", "John.Doe [At] Site.Com"):
+        assert [s for s in pii.proposals(text) if s[0] == "email"] == [("email", 0, len(text))]
+
+
 def test_luhn():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
