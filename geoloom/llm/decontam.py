@@ -5,14 +5,14 @@ part of it is within ``k = floor(0.2 L)`` word edits of the item (similarity 0.8
 
 1. Seeds: an occurrence with k edits keeps at least L - 2 - 3k of the item's word trigrams, on diagonals that differ
    by 2k at most. Only window starts where so many meet are looked at; this loses nothing.
-2. Each item-sized window at these starts is embedded by the random walk of Chakraborty, Goldenberg and Koucky
+2. Every item-sized window at these starts is embedded by the random walk of Chakraborty, Goldenberg and Koucky
    (STOC 2016), which turns k edits into O(k^2) mismatches of position. Bits of each embedding are sampled again and again;
    a window and the items that share a sample's key are candidates. The number of samples follows from the
    target recall.
 3. Candidates are verified by Myers' bit-parallel edit distance against the window with k more words at each side.
 
-The item tables are broadcast in blocks of bounded size, so what is broadcast is bounded, and each block reads the
-documents once. Items of up to five words have too few trigrams: they are sought by their single words where enough of these
+The item tables are broadcast in blocks of bounded size, one after the other: a block is given back before the next one is made, so
+what the driver and the executors hold is bounded. Each block reads the documents once. Items of up to five words have too few trigrams: they are sought by their single words where enough of these
 meet, then verified in the same way, so all of them are found. Null texts and items are empty. Repeated
 rows give repeated results. Without items or documents the result is empty. Whole texts are read.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import map_batches, texts_of
+from geoloom.llm.common import cut_lineage, map_batches, texts_of
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -37,8 +37,8 @@ RECALL = 0.99
 BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 #: Items of so many words at most are sought by single words.
 SHORT = 5
-#: Ranges of fewer window starts are looked at whole; in others so many or more starts, about k / 8 words apart at most. Windows at once.
-STARTS, AT_ONCE = 33, 8192
+#: Windows at once.
+AT_ONCE = 8192
 #: Random walks, sampled positions of an embedding in a key, and the share of positions on which the walks of two texts
 #: within k edits agree, at least.
 WALKS, SAMPLED, AGREEMENT = 4, 2, 0.4
@@ -61,11 +61,6 @@ def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
     return max(0, min(int((1 - similarity) * n + 1e-9), (n - 3) // 3 if n > SHORT else n - 1))
 
 
-def spread(a: int, b: int, limit: int) -> list[int]:
-    """``STARTS`` starts from a to b, evenly spread, or as many more as keep them at most max(1, limit // 8) words apart."""
-    return np.linspace(a, b, max(STARTS, 1 - (a - b) // max(1, limit // 8))).astype(np.int64).tolist()
-
-
 def part_distance(item: list[int], text: list[int], at_most: int) -> tuple[int, int]:
     """(fewest edits from the item to any part of ``text``, end of that part)."""
     n, ones = len(item), (1 << len(item)) - 1
@@ -246,17 +241,19 @@ class Items:
             shared.clear()
             for r, (k, i, a, b) in enumerate(part):
                 ids, n = ids_of[k], int(self.size[i])
-                a, b = max(0, a), max(0, min(b, len(ids) - 1))
-                for s in range(a, b + 1) if b - a < STARTS else spread(a, b, self.limit[i]):
+                for s in range(max(0, a), max(0, min(b, len(ids) - 1)) + 1):
                     windows.append(ids[s : s + n])
                     size.append(n)
                     of.append(r)
                     if len(windows) == AT_ONCE:
                         meet()
+                        if (r, i) in shared:  # the whole range is verified then
+                            break
             if windows:
                 meet()
             for r, i in shared:
                 k, _, a, b = part[r]
+                a, b = max(0, a), max(0, min(b, len(ids_of[k]) - 1))
                 limit, n = self.limit[i], int(self.size[i])
                 begin = max(0, a - limit)
                 edits, end = part_distance(self.words[i], ids_of[k][begin : b + n + limit].tolist(), limit)
@@ -266,8 +263,8 @@ class Items:
             yield k, i, edits, end
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK, similarity: float = SIMILARITY, recall: float = RECALL) -> Iterator[Items]:
-    """The items in blocks of about ``block`` items and ``BLOCK_CHARS`` characters at most, dealt by a hash of the id."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK, similarity: float = SIMILARITY, recall: float = RECALL) -> Iterator[tuple[Items, bool]]:
+    """(items, whether they are the last) in blocks of about ``block`` items and ``BLOCK_CHARS`` characters at most, dealt by a hash of the id."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
     parts = max(1, math.ceil(n / block), math.ceil((chars or 0) / BLOCK_CHARS))
@@ -280,7 +277,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
                 keys.append(r.item_id)
                 words.append([known.setdefault(x, len(known) + 1) for x in w])
         if keys:
-            yield Items(keys, words, known, similarity=similarity, recall=recall)
+            yield Items(keys, words, known, similarity=similarity, recall=recall), part == parts - 1
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -288,7 +285,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, n_words long, edits long, end_word long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for items in item_blocks(benchmark, **options):
+    for items, last in item_blocks(benchmark, **options):
         shared = spark.sparkContext.broadcast(items)
 
         def one(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -299,6 +296,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_words", "edits", "end_word"])
 
         part = map_batches(rows, one, schema)
+        if not last or out is not None:
+            part = cut_lineage(part)
+            shared.unpersist()
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -306,7 +306,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows in which an item is found."""
     spark = docs.sparkSession
-    for items in item_blocks(benchmark, **options):
+    for items, last in item_blocks(benchmark, **options):
         shared = spark.sparkContext.broadcast(items)
 
         def one(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -314,4 +314,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             return b.take(pa.array([k for k in range(b.num_rows) if k not in dirty], pa.int64()))
 
         docs = map_batches(docs, one, docs.schema)
+        if not last:
+            docs = cut_lineage(docs)
+            shared.unpersist()
     return docs

@@ -192,17 +192,44 @@ def test_short_items():
             assert got.get((k, i)) == (truth if truth[0] <= (len(item) == 5) else None)
 
 
-def test_starts_stay_close_in_merged_ranges(monkeypatch):
+def test_every_window_of_a_range(monkeypatch):
     line = list(range(1, 17))
     item = line * 2 + list(range(17, 25))
     found = decontam.Items([0], [item], {str(w).encode(): w for w in range(1, 25)})
     rows, sampled = [], found.sampled
     monkeypatch.setattr(found, "sampled", lambda windows, size: rows.append(len(windows)) or sampled(windows, size))
     monkeypatch.setattr(decontam, "AT_ONCE", 500)
+    monkeypatch.setattr(found, "table", np.zeros(0, np.uint64))  # nothing meets, so nothing ends early
     text = " ".join(map(str, line * 500 + list(range(17, 25))))
-    assert [m[:3] for m in found.matches([text])] == [(0, 0, 0)]
-    assert sum(rows) > 7000 and max(rows) == 500  # a window at each word, as 8 edits are allowed
-    assert decontam.spread(3, 60, 33)[-1] == 60 and len(decontam.spread(3, 60, 33)) == 33 and max(np.diff(decontam.spread(3, 9000, 33))) <= 5
+    assert list(found.matches([text])) == [] and sum(rows) > 7900 and max(rows) == 500
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 10, 15, 40, 100, 200, 400])
+def test_recall_by_length(n):
+    rng = random.Random(n)
+    vocabulary = [f"v{k}" for k in range(500)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k in range(20)]
+    known: dict[bytes, int] = {}
+    words = [[known.setdefault(w, len(known) + 1) for w in decontam.words_of(t)] for _, t in items]
+    rows = planted(items, rng, vocabulary, 100)
+    got = {(k, i) for k, i, *_ in decontam.Items([k for k, _ in items], words, known).matches([t for _, t in rows])}
+    number = lambda t: [known.get(w, 0) for w in decontam.words_of(t)]
+    true = {(d, k) for d, (k, t) in enumerate(rows) if decontam.part_distance(words[k], number(t), n)[0] <= decontam.edits_allowed(n)}
+    assert len(true) >= 95 and len(true & got) >= 0.99 * len(true)
+
+
+def test_decontamination_of_the_tables(spark, sf_dir):
+    """All pairs of documents and items by edit distance."""
+    docs_, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    known: dict[bytes, int] = {}
+    items = [(r.item_id, [known.setdefault(w, len(known) + 1) for w in decontam.words_of(r.text)]) for r in bench]
+    truth = set()
+    for r in docs_:
+        ids = [known.get(w, 0) for w in decontam.words_of(r.text)]
+        near = set(ids)
+        truth |= {(r.doc_id, i) for i, w in items if len(near & set(w)) * 2 >= len(set(w)) and decontam.part_distance(w, ids, len(w))[0] <= decontam.edits_allowed(len(w))}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op4_decontaminate_cgk"](spark, sf_dir).collect()}
+    assert got <= truth and len(got) >= 0.99 * len(truth) > 0
 
 
 def test_decontaminate_odd_tables(spark):
@@ -211,6 +238,11 @@ def test_decontaminate_odd_tables(spark):
     found = sorted((r.doc_id, r.item_id) for r in decontam.contaminations(docs(spark, texts), bench).collect())
     assert found == [(0, 1), (0, 5), (3, 1), (3, 5), (4, 5), (5, 1), (5, 5)]
     assert sorted(r.doc_id for r in decontam.decontaminate(docs(spark, texts), bench).collect()) == [1, 2]
+    nameless = spark.createDataFrame([(None, "one two three four five six seven y", 1), (None, None, 2)], "doc_id long, text string, item_id int")
+    bench_ = spark.createDataFrame([(None, "one two three four five six seven", 9)], "item_id long, text string, doc_id int")
+    assert [tuple(r)[:2] for r in decontam.contaminations(nameless, bench_).collect()] == [(None, None)]
+    assert [tuple(r) for r in decontam.decontaminate(nameless, bench_).collect()] == [(None, None, 2)]
+    assert decontam.decontaminate(docs(spark, texts), bench, block=2).count() == 2
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminations(docs(spark, texts), none).count() == 0 and decontam.decontaminate(docs(spark, texts), none).count() == 6
     assert decontam.contaminations(docs(spark, []), bench).count() == 0
