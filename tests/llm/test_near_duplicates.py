@@ -126,10 +126,12 @@ def brute_cosine(rows, width):
     return {i: (int(hit[k].sum()) - 1, comp[i]) for k, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize(("block", "part"), [(4096, 512), (64, 16)])
-def test_embeddings(spark, monkeypatch, block, part):
+@pytest.mark.parametrize(("block", "part", "interval"), [(4096, 512, 1 << 24), (64, 16, 2048), (16, 16, 1000)])
+def test_embeddings(spark, monkeypatch, block, part, interval):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
     monkeypatch.setattr(embed_dedup, "PART", part)
+    monkeypatch.setattr(embed_dedup, "INTERVAL_BYTES", interval)
+    monkeypatch.setattr(embed_dedup, "SMALL", 10 if block == 64 else 10**5)
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((12, 8))
     rows = [(k, [float(np.float32(x)) for x in centres[k % 12] + rng.standard_normal(8) * 0.45]) for k in range(400)]
@@ -154,5 +156,31 @@ def test_embeddings_odd_tables(spark):
 def test_distant_parts_are_skipped():
     rng = np.random.default_rng(0)
     a, b = np.array([1.0, 0, 0]) + rng.random((600, 3)) * 0.01, np.array([0, 1.0, 0]) + rng.random((600, 3)) * 0.01
-    unit = embed_dedup._unit
-    assert list(embed_dedup.ego_join(unit(a), unit(b), np.eye(3), 0.9, False)) == []
+    one, two = (embed_dedup.Interval(np.arange(600), np.ones(600, np.int64), embed_dedup._unit(x), np.eye(3)) for x in (a, b))
+    assert list(embed_dedup.ego_join(one, two, 0.9, False)) == []
+    both = embed_dedup.Interval(np.arange(1200), np.ones(1200, np.int64), np.concatenate([one.unit, two.unit]), np.eye(3))
+    assert sum(len(x) for x, _ in embed_dedup.ego_join(both, both, 0.9, True)) == 2 * 600 * 599 // 2
+
+
+@pytest.mark.parametrize(("kind", "gap"), [("double", 1e-10), ("double", 4e-16), ("float", 1e-5)])
+def test_cosines_next_to_the_limit(spark, kind, gap):
+    """Pairs a little above and below the limit, in planes of their own."""
+    rows, due = [], {}
+    for k in range(16):
+        c = 0.9 + (gap if k % 2 else -gap)
+        x, y = np.zeros(40), np.zeros(40)
+        x[2 * k], y[2 * k], y[2 * k + 1] = 1.0, c, np.sqrt(1 - c * c)
+        rows += [(2 * k, x.tolist()), (2 * k + 1, y.tolist())]
+        due[2 * k] = due[2 * k + 1] = k % 2
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+    truth = brute_cosine(rows, 40)
+    assert all(r.n_links == truth[r.vec_id][0] for r in got) and (gap < 1e-14 or {r.vec_id: r.n_links for r in got} == due)
+
+
+def test_repeated_ids_of_different_vectors(spark):
+    got = embed_dedup.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 3 and {(r.vec_id, r.component_id) for r in got} == {(1, 1), (2, 1)}
+
+
+def test_intervals():
+    assert embed_dedup.n_intervals(1, 1) == 1 and embed_dedup.n_intervals(1, 6) == 3 and embed_dedup.n_intervals(100 * embed_dedup.INTERVAL_BYTES, 6) == 100
