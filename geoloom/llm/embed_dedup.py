@@ -46,7 +46,7 @@ BLOCK, GRID, PART = 4096, 4, 512
 #: Bytes of the vectors of a block and of an interval. Wide vectors make blocks of fewer rows, of a part at least.
 BLOCK_BYTES, INTERVAL_BYTES = 4 << 20, 16 << 20
 #: Share of the dimensions, the leading ones, in the bound of a cosine.
-LEADING = 0.375
+LEADING = 0.4
 #: Share of a part's pairs from which all are computed.
 DENSE = 0.02
 #: Pairs of intervals that are broadcast; more are joined by a shuffle.
@@ -115,13 +115,12 @@ class Interval:
 def part_pairs(a: Interval, b: Interval, i0: int, j0: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a and b of the links between two small parts."""
     i1, j1 = i0 + PART, j0 + PART
-    x, y = np.nonzero(a.bound[i0:i1] @ b.bound[j0:j1].T >= cosine - SLACK_SINGLE)
-    if not len(x):
-        return x, y
-    if len(x) > DENSE * PART * PART:
-        x, y = np.nonzero(a.unit[i0:i1] @ b.unit[j0:j1].T >= cosine)
-        return x + i0, y + j0
-    x, y = x + i0, y + j0
+    width = min(PART, len(b.unit) - j0)
+    at = np.flatnonzero(a.bound[i0:i1] @ b.bound[j0:j1].T >= cosine - SLACK_SINGLE)
+    if len(at) > DENSE * PART * PART:
+        at = np.flatnonzero(a.unit[i0:i1] @ b.unit[j0:j1].T >= cosine)
+        return at // width + i0, at % width + j0
+    x, y = at // width + i0, at % width + j0
     hit = np.einsum("ij,ij->i", a.unit[x], b.unit[y]) >= cosine
     return x[hit], y[hit]
 
