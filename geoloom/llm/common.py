@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from geoloom.functions import batches
 
@@ -20,17 +21,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests in local
-    mode) a folder of our own is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a folder of our own is made in local mode; on a cluster
+    that is an error, as executors need a shared one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and the executors share.")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "geoloom-checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, or with underscores until no column has it, whatever its case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions for an explicit repartition: the session's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -41,13 +52,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def map_parts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_parts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` in batches of bounded size."""
     batches.bound(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """:func:`map_parts` with a function of one batch."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,9 @@
    XOR and population count, and the cell's links leave as a spanning forest.
 5. Components of the forest are found on the executors.
 
-No candidate is capped or sampled. Rows with a null id get a fingerprint, take no part in linking unless
-another row shares their fingerprint, and then get that row's component. Null text is empty text; a text
-without words has fingerprint zero. Repeated rows are kept. An empty table gives an empty result.
+No candidate is capped or sampled. Rows with a null id link like any other; a component of such rows alone is named null. Null text is
+empty text; a text without words has fingerprint zero. Repeated rows get a row each. An empty table gives an empty result. The join that
+gives each row its component is on fingerprints; where one holds a large share of all rows, adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from geoloom.llm.common import cut_lineage, map_batches, runs, shuffle_width
+from geoloom.llm.common import cut_lineage, fresh, map_batches, runs, shuffle_width
 from geoloom.llm.components import connected_components, settle
 
 MAX_BITS = 2
@@ -185,20 +186,40 @@ def links(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cells, "a long, b long")
 
 
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, component_id, lone): the smallest id in each fingerprint's component, and for one without ids a fingerprint that stands for it."""
+    classes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = connected_components(links(classes.select("fp", F.col("fp").alias("rep"))), "a", "b")
+    named = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("fp").alias("first"))
+    return named.join(roots, "root").select("fp", "component_id", F.when(F.col("component_id").isNull(), F.col("first")).alias("lone"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, fingerprint string, component_id long): a row per row of ``docs``."""
     fps = cut_lineage(fingerprints(docs, id_col, text_col))
-    classes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(classes.filter("rep is not null")), "a", "b")
-    named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return fps.join(named, "fp").select("doc_id", hexed, "component_id")
+    return fps.join(_components(fps), "fp").select("doc_id", hexed, "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near copies: of each component the row with the smallest id stays, rows with a null id all stay.
+    """``docs`` without the near copies: of each component one row stays, that with the smallest id, or any if all ids are null.
 
-    Of rows that repeat the smallest id every one stays; they are the same document.
+    Of rows that repeat the smallest id one stays.
     """
-    kept = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == kept["__kept"], "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    fps = cut_lineage(fingerprints(docs, id_col, text_col))
+    components = cut_lineage(_components(fps))
+    kept = components.select(F.col("component_id").alias("__kept")).dropna().distinct()
+    # the join leaves the rows in order of the id, so dropping repeats needs no further shuffle
+    named = docs.filter(F.col(id_col).isNotNull())
+    named = named.join(kept, named[id_col].cast("long") == kept["__kept"], "left_semi").dropDuplicates([id_col])
+    nameless, at = docs.filter(F.col(id_col).isNull()), docs.schema.names.index(text_col)
+    mark = fresh("fp", docs.columns)
+
+    def marked(b: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.array([fingerprint(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], [*b.schema.names, mark])
+
+    alone = map_batches(nameless, marked, T.StructType([*docs.schema, T.StructField(mark, T.LongType())]))
+    alone = alone.join(components.filter("fp = lone").select(F.col("fp").alias(mark)), mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    return named.unionByName(alone)

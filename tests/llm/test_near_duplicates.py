@@ -112,8 +112,10 @@ def test_simhash_odd_tables(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).collect() == []
     rows = [tuple(r) for r in simhash.near_duplicates(spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, "q")], schema)).select("doc_id", "component_id").collect()]
     assert sorted(rows, key=str) == [(4, 4), (4, 4), (None, 4), (None, None)]
-    kept = simhash.deduplicate(spark.createDataFrame([(None, "a b c"), (4, "a b c"), (9, "a b c")], schema)).collect()
-    assert sorted((r.doc_id for r in kept), key=str) == [4, None]
+    table = [(None, "a b c", 1), (4, "a b c", 2), (4, "a b c", 2), (9, "a b c", 3), (None, "q", 4), (None, "q", 4), (None, None, 5), (7, "other words", 6)]
+    kept = simhash.deduplicate(spark.createDataFrame(table, "doc_id long, text string, fp int")).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == [(4, "a b c", 2), (7, "other words", 6), (None, "q", 4), (None, None, 5)]
+    assert simhash.deduplicate(spark.createDataFrame([], schema)).collect() == []
 
 
 def brute_cosine(rows, width):
