@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut_lineage, map_batches, map_parts, texts_of
+from geoloom.llm.common import cut_lineage, fresh, map_batches, map_parts, texts_of
 
 BUCKETS = 1 << 14
 #: Bound of the labelled sample that the target model is fitted on.
@@ -155,6 +155,7 @@ def keep_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         # the same sums as in the keys, so that the last row in is in here too
         w = np.array([ratio.value[features(t or "")].sum() for t in b.column(at).to_pylist()], float)
-        return b.filter(pa.array(w + b.column(b.num_columns - 1).to_numpy() >= least)).drop_columns(["__noise"])
+        keep = pa.array(w + b.column(b.num_columns - 1).to_numpy() >= least)
+        return pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:-1]], b.schema.names[:-1])
 
-    return map_batches(docs.withColumn("__noise", _gumbel(F.col(id_col).cast("long"))), one, docs.schema)
+    return map_batches(docs.withColumn(fresh("noise", docs.columns), _gumbel(F.col(id_col).cast("long"))), one, docs.schema)
