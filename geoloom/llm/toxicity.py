@@ -6,7 +6,8 @@ pools their states; the document's score is that of its highest window. All wind
 
 Training is multiple-instance: a document's window with the highest score so far carries the label. The sample is bounded:
 up to ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` other labelled ids, those with the smallest hashes, of rows whose
-``crc32(id as text) mod 4`` isn't 2; of a training text all windows take part, in blocks. Scores see the text only.
+``crc32(id as text) mod 4`` isn't 2, as long as their texts fit in ``MAX_BYTES`` (a text that no longer fits is left out); of a training
+text all windows take part, in blocks. Of rows that repeat an id one text is learned from. Scores see the text only.
 
 Null text is empty; a text without words has one blank window and a score like any other. Repeated rows get equal scores, null ids are
 kept (held_out null counts as false). An empty table gives an empty result; without labels every score is 0.
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import map_parts, texts_of
+from geoloom.llm.common import cut_lineage, map_parts, texts_of
 
 WINDOW, STEP = 32, 24
 THRESHOLD = 0.3
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
+#: Bytes of the training texts, which go to the driver.
+MAX_BYTES = 64 << 20
 VOCABULARY = 20_000
 DECAY = 0.01
 WORD_DIM, CHAR_DIM, CHAR_BUCKETS, HIDDEN = 12, 8, 4096, 8
@@ -300,14 +303,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Network | None:
-    """A network from the bounded sample; the driver gets its texts."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Network | None:
+    """A network from the bounded sample; the driver gets its texts, ``max_bytes`` at most."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     draw = lambda wanted, most: known.filter(wanted).orderBy(F.xxhash64("id"), "id").limit(most)
     sample = draw("toxic = 1", max_toxic).union(draw("toxic = 0", max_clean))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = sorted((r.id, r.text, r.toxic) for r in texts.join(F.broadcast(sample), "id").collect())
+    found = cut_lineage(texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
+    left, fits = max_bytes, []
+    for r in found.select("id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id").collect():
+        if r.size <= left:
+            left -= r.size
+            fits.append(r.id)
+    if not fits:
+        return None
+    chosen = found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fits], "id long")), "id", "left_semi")
+    rows = sorted((r.id, r.text, r.toxic) for r in chosen.select("id", "text", "toxic").collect())
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 

@@ -13,6 +13,7 @@ import pytest
 from compare import rows_of, sql_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from geoloom.llm import chat, decontam, html_main, packing, pii, quality, tokens, toxicity
 from geoloom.llm.queries import ORACLES, QUERIES
@@ -284,6 +285,41 @@ def test_quality_against_labels(spark, small):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def test_weights_against_counting(spark, sf_dir):
+    """Every weight of the smallest tables against dictionaries of n-grams."""
+    docs_, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+
+    def grams(text):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+", (text or "").encode())
+        h = [zlib.crc32(w) for w in words]
+        out = [x % (quality.BUCKETS - 1) for x in h]
+        for a, b in zip(h, h[1:]):
+            mixed = ((a * 0x9E3779B1 + b) * 0xC2B2AE3D27D4EB4F % 2**64) >> 40
+            out.append(quality.BUCKETS - 1 if a == b else mixed % (quality.BUCKETS - 1))
+        return out
+
+    rows = docs_.collect()
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    raw, aim = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for r in rows:
+        for g in grams(r.text):
+            raw[g] += 1
+            aim[g] += known.get(r.doc_id) == 1
+    ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
+    got = quality.importance_sample(docs_, labels).collect()
+    weight = {r.doc_id: r.log_weight for r in got}
+    assert len(got) == len(rows) and all(abs(weight[r.doc_id] - sum(ratio[g] for g in grams(r.text))) < 1e-6 for r in rows)
+    share = sum(v == 1 for v in known.values()) / len(known)
+    k = round(min(1, share + 1.96 * (share * (1 - share) / len(known)) ** 0.5) * len(rows))
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in sorted(got, key=lambda r: -r.gumbel_key)[:k]}
+
+
+def test_quality_keeps_columns_of_any_name(spark, small):
+    docs_ = small[0].limit(50).withColumn("noise", F.lit(1)).withColumn("__noise", F.lit("x")).withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id")))
+    kept = quality.keep_sample(docs_, small[1])
+    assert kept.columns == docs_.columns and 0 < kept.count() <= 50
+
+
 def test_threshold_is_exact(spark):
     rng = np.random.default_rng(2)
     values = np.concatenate([rng.standard_normal(3000) * 100, np.zeros(500), [1e-300, 1e300, -1e300]])
@@ -342,6 +378,52 @@ def test_gradients():
         assert slope == pytest.approx(float(g[name][at]), abs=2e-4)
 
 
+def test_forward_pass_against_a_loop_over_words():
+    """One window at a time, one word at a time, one hidden unit at a time where it matters."""
+    words = [b"the", b"quick", b"unseen", b"fox", b"a"]
+    net = toxicity.Network([b"the", b"quick", b"fox"], seed=3)
+    h, p = toxicity.HIDDEN, {k: v.astype(float) for k, v in net.p.items()}
+    table = np.concatenate([np.zeros((1, toxicity.WORD_DIM + toxicity.CHAR_DIM), np.float32), net.inputs(words)])
+    ids = np.array([[1, 2, 3, 4, 5, 0], [3, 3, 0, 0, 0, 0]])
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        marked = b"^" + word + b"$"
+        rows = [(marked[k] * 7919 + marked[k + 1] * 104729 + marked[k + 2] * 1299709) % toxicity.CHAR_BUCKETS for k in range(len(word))]
+        known = {b"the": 2, b"quick": 3, b"fox": 4}.get(word, 1)
+        return np.concatenate([p["word"][known], np.mean([p["char"][r] for r in rows], axis=0)])
+
+    def states(seq, way):
+        s, out = np.zeros(h), []
+        for x in seq:
+            g, u = x @ p[f"w{way}"] + p[f"c{way}"], s @ p[f"u{way}"]
+            z, r = sigmoid(g[:h] + u[:h]), sigmoid(g[h : 2 * h] + u[h : 2 * h])
+            s = (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :]) + z * s
+            out.append(s)
+        return out
+
+    got = net.run(net.gates(table), ids)
+    for row, logit in zip(ids, got):
+        seq = [vector(words[k - 1]) for k in row if k]
+        both = [np.concatenate(pair) for pair in zip(states(seq, "f"), states(seq[::-1], "b")[::-1])]
+        weight = np.exp([s @ p["v"] for s in both])
+        assert abs(sum(w * s for w, s in zip(weight / weight.sum(), both)) @ p["out"] + p["bias"][0] - logit) < 1e-4
+    scorer, text = toxicity.Scorer(net), b" ".join(words * 20).decode()
+    each = [float(sigmoid(net.run(net.gates(table), np.array([([1, 2, 3, 4, 5] * 20 + [0] * 40)[k : k + toxicity.WINDOW]])[:, :])[0])) for k in toxicity.window_starts(100)]
+    assert abs(scorer.scores([text])[0] - max(each)) < 1e-5
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append(sorted(texts)))
+    rows = [(k, f"text {k} " + "x" * (1000 if k == 8 else 10)) for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs_ = spark.createDataFrame(rows + rows[:3] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows] + [(None, 1)], "doc_id long, toxic int")
+    toxicity.fit(docs_, labels)
+    toxicity.fit(docs_, labels, max_bytes=200)
+    assert seen[0] == sorted(t for _, t in rows) and 0 < sum(map(len, seen[1])) <= 200
+
+
 def test_windows_cover_everything():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         w = toxicity._windows(np.arange(1, n + 1))
