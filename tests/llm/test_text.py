@@ -479,11 +479,15 @@ def test_token_counts(spark):
     got = {r.doc_id: r for r in tokens.token_counts(docs(spark, ODD).withColumnRenamed("lang", "n_tokens")).collect()}
     for k, ids in enumerate(reference_ids(ODD)):
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (len(ids), len((ODD[k] or "").encode()), len(ids) > 512)
+    nameless = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(tuple(r)[1:] for r in tokens.token_counts(nameless).collect()) == [(0, 0, False), (3, 2, False)]
+    assert sorted(tuple(r)[:3] + (r.doc_tokens,) for r in packing.pack(nameless).collect()) == [(None, 0, 1, 1), (None, 0, 3, 3)]
     assert tokens.token_counts(docs(spark, [])).count() == 0
 
 
 def test_both_encoders_agree_on_all_characters():
     texts = ["".join(f"{chr(c)} {chr(c)}a{chr(c)}" for c in range(k, k + 512) if not 0xD800 <= c < 0xE000) for k in range(0, 0x20000, 512)]
+    texts += [" ".join(map(chr, range(k, k + 4096))) for k in range(0x20000, 0x110000, 4096)]
     count = tokens.Counter(tokens.frequent_lengths(public_tokenizers.path(tokens.RANKS)), public_tokenizers.path(tokens.RANKS)).count
     for text, ids in zip(texts, reference_ids(texts)):
         assert tokens.token_ids(text).tolist() == ids and count(text) == len(ids)
