@@ -125,6 +125,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sort-algorithm", choices=("str", "hilbert"), default="str")
     p.add_argument("--keep-metadata-tags", action="store_false", dest="ignore_metadata_tags")
     p.add_argument("--wkt-result", action="store_true")
+    p.add_argument("--single-file", action="store_true", help="one file, by way of the driver, instead of a folder")
     loud = p.add_mutually_exclusive_group()
     loud.add_argument("--silent", action="store_true")
     loud.add_argument("--transient", action="store_true")
@@ -168,7 +169,7 @@ def main(argv: list[str] | None = None, spark=None, **hooks) -> int:
         if as_duckdb:
             to = reader.pbf_to_duckdb(paths, a.result_file_path, a.duckdb_table_name, **tags) if paths else reader.region_to_duckdb(a.result_file_path, a.duckdb_table_name, **tags)
         else:
-            more = {"sort": a.sort and not a.wkt_result, "algorithm": a.sort_algorithm, "ignore_cache": a.ignore_cache, "wkt": a.wkt_result}
+            more = {"sort": a.sort and not a.wkt_result, "algorithm": a.sort_algorithm, "ignore_cache": a.ignore_cache, "wkt": a.wkt_result, "single_file": a.single_file}
             to = reader.pbf_to_parquet(paths, a.result_file_path, **tags, **more) if paths else reader.region_to_parquet(a.result_file_path, **tags, **more)
     except OsmExtractSearchError as e:
         print(e, file=sys.stderr)

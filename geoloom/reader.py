@@ -19,6 +19,7 @@ from geoloom.operators import extracts as search
 from geoloom.plans.features import all_features
 from geoloom.plans.references import resolve
 from geoloom.sources import extracts as sources
+from geoloom.sources import files
 from geoloom.sources.pbf import read_pbf
 
 
@@ -77,8 +78,7 @@ class OsmReader:
 
     def _elements(self, path: str) -> DataFrame:
         """Elements of a file, decoded once and kept on the executors' disks; lost parts are decoded again."""
-        local = str(sources.download(path, Path(self.working_directory), self.fetch_bytes)) if sources.is_url(path) else str(path)
-        elements = read_pbf(self.spark, local)
+        elements = read_pbf(self.spark, path)
         if self.cpu_limit:
             elements = elements.coalesce(self.cpu_limit)
         return self._hold(elements)
@@ -99,6 +99,7 @@ class OsmReader:
         if extract_regions is not None and len(extract_regions) != len(paths):
             raise ValueError("There are as many extract regions as files, or none.")
         ids = list(ids) if ids else None
+        paths = [sources.download(p, self.working_directory, self.fetch_bytes) if sources.is_url(p) else p for p in paths]
         parts = []
         for k, path in enumerate(paths):
             clip = None
@@ -108,7 +109,7 @@ class OsmReader:
                 if clip is None:
                     continue
             self.spark.sparkContext.setJobDescription(f"features of {path}")
-            parts.append((-_size(path), self.features(self._elements(path), ids, keep_all_tags, explode_tags, clip)))
+            parts.append((-files.size(path), self.features(self._elements(path), ids, keep_all_tags, explode_tags, clip)))
         if not parts:
             return self.spark.createDataFrame([], "feature_id string, geometry binary")
         frames = [f for _, f in sorted(parts, key=lambda p: p[0])]
@@ -117,12 +118,12 @@ class OsmReader:
 
     # ---- results
 
-    def _name(self, files: list[str] | None, result: str | None, keep_all: bool, explode: bool | None, ids, wkt: bool, ordered: bool) -> str:
+    def _name(self, names: list[str] | None, result: str | None, keep_all: bool, explode: bool | None, ids, wkt: bool, ordered: bool) -> str:
         explode = tag_functions.explodes(self.tags_filter, keep_all, explode)
-        return result or str(Path(self.working_directory) / sink.result_name(files, self.tags_filter, self.sql_filter, self.ignore_metadata_tags, keep_all, explode, self.region, ids, wkt, ordered))
+        return result or files.join(str(self.working_directory), sink.result_name(names, self.tags_filter, self.sql_filter, self.ignore_metadata_tags, keep_all, explode, self.region, ids, wkt, ordered))
 
     def _write(self, features: DataFrame, path: str, wkt: bool, order: str | None, single_file: bool) -> str:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        files.make_parent(path)
         box = regions.bounds(self.region) if self.region else None
         try:
             if wkt:
@@ -131,21 +132,24 @@ class OsmReader:
         finally:
             self.release()
 
-    def pbf_to_parquet(self, paths, result: str | None = None, keep_all_tags: bool = False, explode_tags: bool | None = None, sort: bool = True, algorithm: str = "str", ignore_cache: bool = False, ids: Iterable[str] | None = None, wkt: bool = False, extract_regions: list | None = None, single_file: bool = True) -> str:
-        """Write features to parquet and return the path; a result that is there already is used again."""
+    def pbf_to_parquet(self, paths, result: str | None = None, keep_all_tags: bool = False, explode_tags: bool | None = None, sort: bool = True, algorithm: str = "str", ignore_cache: bool = False, ids: Iterable[str] | None = None, wkt: bool = False, extract_regions: list | None = None, single_file: bool = False) -> str:
+        """Write features to parquet and return the path; a result that is there already is used again.
+
+        The result is a folder that the executors write; a ``single_file`` passes through the driver.
+        """
         if sort and wkt:
             raise ValueError("A result as text can't be sorted spatially.")
-        files = [str(paths)] if isinstance(paths, (str, Path)) else [str(p) for p in paths]
+        names = [str(paths)] if isinstance(paths, (str, Path)) else [str(p) for p in paths]
         ids = list(ids) if ids else None
-        path = self._name(files, result, keep_all_tags, explode_tags, ids, wkt, sort)
+        path = self._name(names, result, keep_all_tags, explode_tags, ids, wkt, sort)
         if not ignore_cache:
-            if Path(path).exists():
+            if files.exists(path):
                 return path
-            old = Path(path).with_suffix(".geoparquet")
-            if old.exists():
+            old = files.with_ending(path, ".geoparquet")
+            if files.exists(old):
                 warnings.warn("A result with the older ending .geoparquet is used.", DeprecationWarning, stacklevel=2)
-                return str(old)
-        return self._write(self.read(files, ids, keep_all_tags, explode_tags, extract_regions), path, wkt, algorithm if sort else None, single_file)
+                return old
+        return self._write(self.read(names, ids, keep_all_tags, explode_tags, extract_regions), path, wkt, algorithm if sort else None, single_file)
 
     def pbf_to_pandas(self, paths, **options):
         try:
@@ -154,12 +158,12 @@ class OsmReader:
             self.release()
 
     def pbf_to_duckdb(self, paths, result: str | None = None, table: str = "features", **options) -> str:
-        files = [str(paths)] if isinstance(paths, (str, Path)) else [str(p) for p in paths]
-        name = self._name(files, None, options.get("keep_all_tags", False), options.get("explode_tags"), options.get("ids"), False, False)
-        path = result or str(Path(name).with_suffix(".duckdb"))
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        names = [str(paths)] if isinstance(paths, (str, Path)) else [str(p) for p in paths]
+        name = self._name(names, None, options.get("keep_all_tags", False), options.get("explode_tags"), options.get("ids"), False, False)
+        path = result or files.with_ending(name, ".duckdb")
+        files.make_parent(path)
         try:
-            return sink.write_duckdb(self.read(files, **options), path, table)
+            return sink.write_duckdb(self.read(names, **options), path, table)
         finally:
             self.release()
 
@@ -172,23 +176,23 @@ class OsmReader:
     # ---- extracts
 
     @property
-    def index_cache(self) -> Path:
-        return Path(self.working_directory) / "indexes"
+    def index_cache(self) -> str:
+        return files.join(str(self.working_directory), "indexes")
 
-    def _get(self, extract: sources.Extract) -> Path | None:
+    def _get(self, extract: sources.Extract) -> str | None:
         try:
-            return sources.download(extract.url, Path(self.working_directory), self.fetch_bytes)
+            return sources.download(extract.url, self.working_directory, self.fetch_bytes)
         except OSError:
             return None
 
-    def find_extracts(self) -> list[tuple[sources.Extract, Path]]:
+    def find_extracts(self) -> list[tuple[sources.Extract, str]]:
         """Downloaded extracts that cover the region."""
         if self.region is None:
             raise AttributeError("A region is needed to find extracts.")
         index = sources.load_indexes(self.extract_source, self.index_cache, self.fetch)
         return search.available_cover(DriverGeometry(self.spark), index, self.region, self._get, min_iou=self.min_iou, allow_uncovered=self.allow_uncovered)
 
-    def extract_by_name(self, query: str, first: bool = True) -> Path:
+    def extract_by_name(self, query: str, first: bool = True) -> str:
         index = sources.load_indexes(self.extract_source, self.index_cache, self.fetch)
         return search.available_by_name(index, query, self._get, first)
 
@@ -207,13 +211,6 @@ class OsmReader:
         return self.pbf_to_duckdb([p for _, p in found], result, table, extract_regions=[e.geometry for e, _ in found], **options)
 
 
-def _size(path: str) -> int:
-    try:
-        return Path(path).stat().st_size
-    except OSError:
-        return 0
-
-
 def check_polygon_config(config: dict) -> None:
     lists = lambda d: isinstance(d, dict) and all(isinstance(k, str) and all(isinstance(v, str) for v in vs) for k, vs in d.items())
     if set(config) != {"all", "allowlist", "denylist"} or not all(isinstance(k, str) for k in config["all"]) or not lists(config["allowlist"]) or not lists(config["denylist"]):
@@ -278,4 +275,4 @@ def convert_extract_to_duckdb(spark: SparkSession, query: str, result: str | Non
 def display_available_extracts(source=sources.Source.any, full_names: bool = False, working_directory: str = "files", fetch: Callable = sources.http_fetch) -> None:
     """Print the extracts that services offer, as trees."""
     for s in sources.resolve_sources(source):
-        print("\n".join(sources.tree_lines(sources.load_index(s, Path(working_directory) / "indexes", fetch), s.value, full_names)))
+        print("\n".join(sources.tree_lines(sources.load_index(s, files.join(str(working_directory), "indexes"), fetch), s.value, full_names)))

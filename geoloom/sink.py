@@ -19,16 +19,30 @@ from geoloom.functions import region as regions
 from geoloom.functions.wkb import wkb_envelope, wkb_to_wkt, wkb_type
 from geoloom.operators import ordering
 from geoloom.schema import FEATURE_ID, GEOMETRY
+from geoloom.sources.files import opened
 
+VERSION = "0.2.0"
 COMPRESSION, LEVEL, ROW_GROUP = "zstd", 3, 100_000
 
 
+#: Longitude and latitude on WGS 84, as PROJ JSON (fixed values).
+CRS = {
+    "$schema": "https://proj.org/schemas/v0.7/projjson.schema.json", "type": "GeographicCRS", "name": "WGS 84 (CRS84)",
+    "datum": {"type": "GeodeticReferenceFrame", "name": "World Geodetic System 1984", "ellipsoid": {"name": "WGS 84", "semi_major_axis": 6378137, "inverse_flattening": 298.257223563}},
+    "coordinate_system": {"subtype": "ellipsoidal", "axis": [
+        {"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"},
+        {"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"},
+    ]},
+    "id": {"authority": "OGC", "code": "CRS84"},
+}
+
+
 def geo_metadata(types: list[str], box: tuple[float, float, float, float] | None, encoding: str = "WKB", creator: str = "geoloom") -> str:
     """The ``geo`` entry of a GeoParquet 1.1.0 file."""
-    column = {"encoding": encoding, "geometry_types": sorted(types)}
+    column = {"encoding": encoding, "crs": CRS, "geometry_types": sorted(types)}
     if box is not None:
         column["bbox"] = list(box)
-    return json.dumps({"version": "1.1.0", "primary_column": GEOMETRY, "columns": {GEOMETRY: column}, "creator": {"library": creator}})
+    return json.dumps({"version": "1.1.0", "primary_column": GEOMETRY, "columns": {GEOMETRY: column}, "creator": {"library": creator, "version": VERSION}})
 
 
 def box_of(geometry: str) -> Column:
@@ -66,13 +80,9 @@ def sort_spatially(features: DataFrame, algorithm: str = "str", box: tuple | Non
     return done.drop("__x", "__y")
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 def stamp_file(source: str, target: str, geo: str, compression: str = COMPRESSION, level: int | None = LEVEL, row_group: int = ROW_GROUP, version: str = "2.6") -> None:
     """Rewrite a parquet file, or a folder of them as one file, with the ``geo`` entry; a row group at a time."""
-    system, inner = _open(source)
+    system, inner = opened(source)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.Directory:
         files = sorted(f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.path.endswith(".parquet"))
@@ -81,7 +91,7 @@ def stamp_file(source: str, target: str, geo: str, compression: str = COMPRESSIO
     schema = pq.read_schema(files[0], filesystem=system)
     meta = {k: v for k, v in (schema.metadata or {}).items() if not k.startswith(b"org.apache.spark")}
     schema = schema.with_metadata(meta | {b"geo": geo.encode()})
-    out_system, out = _open(target)
+    out_system, out = opened(target)
     part = out + ".part"
     options = {"compression_level": level} if level is not None and compression in ("zstd", "gzip", "brotli") else {}
     with pq.ParquetWriter(part, schema, filesystem=out_system, compression=compression, version=version, data_page_version="2.0" if version != "1.0" else "1.0", **options) as writer:
@@ -114,11 +124,11 @@ def write_geoparquet(features: DataFrame, path: str, single_file: bool = False,
     if extent is None:
         warnings.warn("The result is empty.", EmptyResultWarning, stacklevel=2)
     geo, number = geo_metadata(types, extent), "1.0" if version == "v1" else "2.6"
-    system, inner = _open(raw)
+    system, inner = opened(raw)
     if single_file:
         stamp_file(raw, path, geo, compression, level, row_group, number)
     else:
-        out_system, out = _open(path)
+        out_system, out = opened(path)
         out_system.create_dir(out)
         files = [f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.path.endswith(".parquet")]
         scheme = raw[: raw.index(inner)] if "://" in raw else ""

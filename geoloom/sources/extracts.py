@@ -12,7 +12,7 @@ import re
 import time
 import unicodedata
 import warnings
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from enum import Enum
 from html.parser import HTMLParser
@@ -21,8 +21,9 @@ from urllib.error import HTTPError, URLError
 from urllib.parse import urljoin, urlparse
 from urllib.request import Request, urlopen
 
-from geoloom.errors import MissingOsmCacheWarning, OsmExtractIndexOutdatedWarning, OsmExtractsIndexesUnavailableError, OsmExtractSourceUnavailableWarning
+from geoloom.errors import MissingOsmCacheWarning, OldOsmCacheWarning, OsmExtractsIndexesUnavailableError, OsmExtractSourceUnavailableWarning
 from geoloom.functions import region as regions
+from geoloom.sources import files
 
 Fetch = Callable[[str], str | None]
 
@@ -290,27 +291,33 @@ def to_rows(extracts: list[Extract]) -> list[dict]:
     return [{"id": e.id, "name": e.name, "file_name": e.file_name, "parent": e.parent, "geometry": regions.to_wkt(e.geometry), "area": e.area, "url": e.url} for e in extracts]
 
 
-def save_index(extracts: list[Extract], path: Path) -> None:
+def save_index(extracts: list[Extract], path: str) -> None:
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    path.parent.mkdir(parents=True, exist_ok=True)
-    pq.write_table(pa.Table.from_pylist(to_rows(extracts)), path)
+    files.make_parent(path)
+    system, inner = files.opened(path)
+    pq.write_table(pa.Table.from_pylist(to_rows(extracts)), inner, filesystem=system)
 
 
-def read_index(path: Path) -> list[Extract]:
+def read_index(path: str) -> list[Extract]:
     import pyarrow.parquet as pq
 
-    return [Extract(r["id"], r["name"], r["parent"], r["url"], regions.from_wkt(r["geometry"]), r["file_name"], r["area"]) for r in pq.read_table(path).to_pylist()]
+    system, inner = files.opened(path)
+    return [Extract(r["id"], r["name"], r["parent"], r["url"], regions.from_wkt(r["geometry"]), r["file_name"], r["area"]) for r in pq.read_table(inner, filesystem=system).to_pylist()]
 
 
-def load_index(source: Source, cache: Path, fetch: Fetch = http_fetch) -> list[Extract]:
+def _cached(source: Source, cache: str | Path) -> str:
+    return files.join(str(cache), f"{source.value.lower()}_index.parquet")
+
+
+def load_index(source: Source, cache: str | Path, fetch: Fetch = http_fetch) -> list[Extract]:
     """A source's index from its cache, else from the service; an old cache is used with a warning."""
-    path = Path(cache) / f"{source.value.lower()}_index.parquet"
-    if path.exists():
-        days = (time.time() - path.stat().st_mtime) / 86400
-        if days > OUTDATED_DAYS:
-            warnings.warn(f"The index of {source.value} is of {dt.date.fromtimestamp(path.stat().st_mtime)}.", OsmExtractIndexOutdatedWarning, stacklevel=2)
+    path = _cached(source, cache)
+    if files.exists(path):
+        made = files.modified(path)
+        if time.time() - made > OUTDATED_DAYS * 86400:
+            warnings.warn(f"The index of {source.value} is of {dt.date.fromtimestamp(made)}.", OldOsmCacheWarning, stacklevel=2)
         return read_index(path)
     warnings.warn(f"The index of {source.value} isn't cached; it is made anew.", MissingOsmCacheWarning, stacklevel=2)
     found = finished(LOADERS[source](fetch))
@@ -318,7 +325,7 @@ def load_index(source: Source, cache: Path, fetch: Fetch = http_fetch) -> list[E
     return found
 
 
-def load_indexes(source, cache: Path, fetch: Fetch = http_fetch) -> list[Extract]:
+def load_indexes(source, cache: str | Path, fetch: Fetch = http_fetch) -> list[Extract]:
     """Indexes of several sources as one. Of several, those out of reach are skipped with a warning; a single one has to load."""
     wanted = resolve_sources(source)
     if len(wanted) == 1:
@@ -336,9 +343,9 @@ def load_indexes(source, cache: Path, fetch: Fetch = http_fetch) -> list[Extract
     return sorted((e for index in found for e in index), key=lambda e: (e.area, e.id))
 
 
-def clear_cache(cache: Path, source=Source.any) -> None:
+def clear_cache(cache: str | Path, source=Source.any) -> None:
     for s in resolve_sources(source):
-        (Path(cache) / f"{s.value.lower()}_index.parquet").unlink(missing_ok=True)
+        files.remove(_cached(s, cache))
 
 
 def human(number: float) -> str:
@@ -369,15 +376,20 @@ def tree_lines(extracts: list[Extract], root: str, full_names: bool = False) ->
     return out
 
 
-def download(url: str, directory: Path, fetch_bytes: Callable[[str], bytes] | None = None) -> Path:
-    """A file of a URL, kept by its name; one that is there is used again."""
-    path = Path(directory) / urlparse(url).path.rsplit("/", 1)[-1]
-    if not path.exists():
-        path.parent.mkdir(parents=True, exist_ok=True)
-        data = fetch_bytes(url) if fetch_bytes else urlopen(Request(url, headers={"User-Agent": "geoloom"}), timeout=600).read()
-        part = path.with_suffix(path.suffix + ".part")
-        part.write_bytes(data)
-        part.replace(path)
+def _chunks(url: str, size: int = 8 << 20) -> Iterator[bytes]:
+    with urlopen(Request(url, headers={"User-Agent": "geoloom"}), timeout=600) as answer:
+        while chunk := answer.read(size):
+            yield chunk
+
+
+def download(url: str, directory: str, fetch_bytes: Callable[[str], bytes] | None = None) -> str:
+    """A file of a URL in a folder (a path or URI), kept by its name; one that is there is used again.
+
+    The executors read it from there, so on a cluster the folder is in a store that they share.
+    """
+    path = files.join(str(directory), urlparse(url).path.rsplit("/", 1)[-1])
+    if not files.exists(path):
+        files.write(path, [fetch_bytes(url)] if fetch_bytes else _chunks(url))
     return path
 
 

@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from geoloom.schema import ELEMENT
+from geoloom.sources.files import opened
 
 #: Compressed bytes of a partition.
 PARTITION_BYTES = 16 << 20
@@ -31,10 +31,8 @@ _ARROW = pa.schema([
 
 def open_file(path: str):
     """A random-access file of a path or URI."""
-    if "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
-        return system.open_input_file(inner)
-    return fs.LocalFileSystem().open_input_file(path.removeprefix("file:"))
+    system, inner = opened(path)
+    return system.open_input_file(inner)
 
 
 # ---- protocol buffers

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 import warnings
 
 import pytest
 
-from geoloom.errors import GeometryNotCoveredError, OsmExtractMultipleMatchesError, OsmExtractsUnavailableError, OsmExtractZeroMatchesError
+from geoloom.errors import GeometryNotCoveredError, OldOsmCacheWarning, OsmExtractMultipleMatchesError, OsmExtractsUnavailableError, OsmExtractZeroMatchesError
 from geoloom.functions import region as regions
 from geoloom.functions.jts import DriverGeometry
 from geoloom.operators import extracts as search
@@ -160,6 +162,10 @@ def test_cache(tmp_path):
     assert sources.load_index(Source.geofabrik, tmp_path, fetch) == first and len(calls) == 1
     with pytest.warns(Warning):
         assert sources.load_indexes("geofabrik,osmfr", tmp_path, fetch) == first
+    old = time.time() - 400 * 86400
+    os.utime(tmp_path / "geofabrik_index.parquet", (old, old))
+    with pytest.warns(OldOsmCacheWarning):
+        assert sources.load_index(Source.geofabrik, tmp_path, fetch) == first
     sources.clear_cache(tmp_path)
     assert not list(tmp_path.glob("*.parquet"))
 

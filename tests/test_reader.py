@@ -9,6 +9,7 @@ import duckdb
 import pyarrow.parquet as pq
 import pytest
 from pbf_writer import write_pbf
+from pyspark.sql import functions as F
 from world import EXPECTED, world
 
 from geoloom import reader, sink
@@ -17,6 +18,7 @@ from geoloom.errors import InvalidGeometryFilter
 from geoloom.functions import region as regions
 from geoloom.reader import OsmReader
 from geoloom.sources import extracts as sources
+from geoloom.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -34,16 +36,21 @@ def test_geoparquet(spark, pbf, tmp_path, single, algorithm):
     files = [out] if single else sorted(Path(out).glob("*.parquet"))
     assert sum(pq.read_metadata(f).num_rows for f in files) == len(EXPECTED)
     geo = json.loads(pq.read_schema(files[0]).metadata[b"geo"])
+    assert geo["columns"]["geometry"]["crs"]["id"]["code"] == "CRS84" and geo["creator"]["version"]
     assert geo["version"] == "1.1.0" and geo["columns"]["geometry"]["bbox"] == [0, 0, 22, 22] and "Polygon" in geo["columns"]["geometry"]["geometry_types"]
     assert set(spark.read.parquet(out).toPandas().feature_id) == set(EXPECTED)
 
 
 def test_result_is_used_again(spark, pbf, tmp_path):
     r = OsmReader(spark, working_directory=str(tmp_path))
-    out = r.pbf_to_parquet(pbf, sort=False)
+    out = r.pbf_to_parquet(pbf, sort=False, single_file=True)
     Path(out).write_text("kept")
     assert r.pbf_to_parquet(pbf, sort=False) == out and Path(out).read_text() == "kept"
-    assert pq.read_metadata(r.pbf_to_parquet(pbf, sort=False, ignore_cache=True)).num_rows == len(EXPECTED)
+    assert pq.read_metadata(r.pbf_to_parquet(pbf, sort=False, ignore_cache=True, single_file=True)).num_rows == len(EXPECTED)
+    uri = f"file://{tmp_path}/store"
+    r = OsmReader(spark, working_directory=uri)
+    out = r.pbf_to_parquet(pbf, sort=False)
+    assert out.startswith(uri) and spark.read.parquet(out).count() == len(EXPECTED) and r.pbf_to_parquet(pbf, sort=False) == out
 
 
 def test_exploded_columns(spark, pbf):
@@ -75,7 +82,9 @@ def test_several_files(spark, pbf, tmp_path):
 
 def test_empty_result(spark, pbf, tmp_path):
     with pytest.warns(Warning):
-        out = OsmReader(spark, {"nothing": True}, working_directory=str(tmp_path)).pbf_to_parquet(pbf)
+        out = OsmReader(spark, {"nothing": True}, working_directory=str(tmp_path)).pbf_to_parquet(pbf, single_file=True)
+        folder = OsmReader(spark, {"nothing": True}, working_directory=str(tmp_path)).pbf_to_parquet(pbf, result=str(tmp_path / "folder.parquet"))
+    assert spark.read.parquet(folder).columns == ["feature_id", "geometry"] and spark.read.parquet(folder).count() == 0
     assert pq.read_schema(out).names == ["feature_id", "geometry"] and pq.read_metadata(out).num_rows == 0
 
 
@@ -113,8 +122,8 @@ def hooks(pbf):
 def test_regions_and_extracts(spark, pbf, tmp_path):
     options = {"working_directory": str(tmp_path), "extract_source": "geofabrik", **hooks(pbf)}
     out = reader.convert_region_to_parquet(spark, regions.from_box((-0.5, -0.5, 5, 5)), **options)
-    assert pq.read_metadata(out).num_rows == len(EXPECTED) - 1
-    assert pq.read_metadata(reader.convert_extract_to_parquet(spark, "all", **options)).num_rows == len(EXPECTED)
+    assert spark.read.parquet(out).count() == len(EXPECTED) - 1
+    assert pq.read_metadata(reader.convert_extract_to_parquet(spark, "all", single_file=True, **options)).num_rows == len(EXPECTED)
     assert len(reader.convert_region_to_pandas(spark, regions.from_box((-0.5, -0.5, 5, 5)), **options)) == len(EXPECTED) - 1
     with pytest.raises(AttributeError):
         OsmReader(spark).find_extracts()
@@ -123,7 +132,7 @@ def test_regions_and_extracts(spark, pbf, tmp_path):
 @pytest.mark.filterwarnings("ignore")
 def test_command_line(spark, pbf, tmp_path, capsys):
     work = ["--working-directory", str(tmp_path)]
-    assert main([str(pbf), *work, "--osm-tags-filter", '{"building": true}', "--no-sort"], spark) == 0
+    assert main([str(pbf), *work, "--osm-tags-filter", '{"building": true}', "--no-sort", "--single-file"], spark) == 0
     assert pq.read_metadata(capsys.readouterr().out.strip()).num_rows == 3
     assert main([str(pbf), *work, "--wkt-result", "--geom-filter-bbox=-1,-1,5,5", "--filter-osm-ids", "way/10,node/1"], spark) == 0
     assert spark.read.parquet(capsys.readouterr().out.strip()).count() == 2
@@ -143,6 +152,27 @@ def test_bad_arguments(argv):
         main(argv)
 
 
+def test_files(tmp_path):
+    one, two = str(tmp_path / "a" / "x.bin"), f"file://{tmp_path}/b/y.tar.gz"
+    for path in (one, two):
+        assert not files.exists(path) and files.size(path) == 0
+        files.write(path, [b"ab", b"c"])
+        assert files.exists(path) and files.size(path) == 3
+    assert files.with_ending(two, ".z") == f"file://{tmp_path}/b/y.tar.z" and files.name_of(one) == "x.bin" and files.join("s3://b/c/", "d") == "s3://b/c/d"
+
+
+def test_downloads_are_ordered_by_size(spark, pbf, tmp_path, monkeypatch):
+    """Of a feature in two files the larger file's stays, also when both are URLs."""
+    order = []
+    monkeypatch.setattr(reader.OsmReader, "features", lambda self, e, *a, **k: e.select(F.concat(F.lit("node/"), "id").alias("feature_id")))
+    monkeypatch.setattr(reader.OsmReader, "_elements", lambda self, path: order.append(files.size(path)) or spark.range(3))
+    fetch = lambda url: b"x" * (10 if "small" in url else 1000)
+    combined = []
+    monkeypatch.setattr(reader.dedupe, "combine", lambda frames: combined.extend(frames) or frames[0])
+    OsmReader(spark, working_directory=str(tmp_path), fetch_bytes=fetch).read(["http://a/small.osm.pbf", "http://a/large.osm.pbf"])
+    assert order == [10, 1000] and len(combined) == 2
+
+
 def test_ids():
     assert parse_ids("node/1, way/2") == ["node/1", "way/2"]
 
