@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom import sink
 from geoloom.functions import arrays, tags
@@ -416,7 +417,7 @@ def _rectangles(spark, d):
     return features.relation_geometry(members, ways)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _area(shapes: pd.Series) -> pd.Series:
     def of(kind: str, parts: list) -> float:
         return sum(map(regions.polygon_area, [parts] if kind == "Polygon" else parts))
