@@ -1,7 +1,8 @@
 """``spark.read.format("osmpbf")``: OpenStreetMap PBF files as element rows.
 
-The driver reads only the headers of a file's blobs; a partition is a run of blobs, which its task decodes with numpy.
-Paths may be local or of any file system that pyarrow opens by URI. The option ``kinds`` skips the decoding of other groups. (The
+A partition is a range of bytes. Its task reads the range at once, finds the first blob that starts there and decodes the blobs
+from there on with numpy, the last one to its end. The driver reads a file's size and first header only, however many blobs
+there are. Paths may be local or of any file system that pyarrow opens by URI. The option ``kinds`` skips the decoding of other groups. (The
 pushdown hook of Python sources isn't used: Spark 4.1 keeps what one query pushed down for later ones.)
 """
 
@@ -20,8 +21,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from geoloom.schema import ELEMENT
 from geoloom.sources.files import opened
 
-#: Compressed bytes of a partition.
+#: Bytes of a file in a partition.
 PARTITION_BYTES = 16 << 20
+#: Longest header of a blob, by the format.
+HEADER_BYTES = 64 << 10
+#: How the header of a data blob begins: its first field is the kind.
+_DATA_MARK = b"\x0a\x07OSMData"
 _MEMBER_KINDS = ("node", "way", "relation")
 _ARROW = pa.schema([
     ("kind", pa.string()), ("id", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("refs", pa.list_(pa.int64())),
@@ -42,12 +47,17 @@ def fields(data: memoryview) -> Iterator[tuple[int, int | memoryview]]:
     """(number, value) of each field of a message."""
     at, end = 0, len(data)
     while at < end:
-        key, at = varint(data, at)
+        # most keys and lengths take one byte, so those are read without a call
+        key, at = data[at], at + 1
+        if key > 0x7F:
+            key, at = varint(data, at - 1)
         wire = key & 7
         if wire == 0:
             value, at = varint(data, at)
         elif wire == 2:
-            n, at = varint(data, at)
+            n, at = data[at], at + 1
+            if n > 0x7F:
+                n, at = varint(data, at - 1)
             value, at = data[at : at + n], at + n
         elif wire in (1, 5):
             n = 8 if wire == 1 else 4
@@ -90,27 +100,87 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Blobs(InputPartition):
+class Range(InputPartition):
+    """The blobs of a file that start at a byte from ``start`` on and before ``stop``."""
+
     path: str
-    #: (offset, size) of each blob message.
-    spans: tuple[tuple[int, int], ...]
+    start: int
+    stop: int
 
 
-def blob_spans(path: str) -> Iterator[tuple[int, int]]:
-    """(offset, size) of the data blobs of a file; reads their headers only."""
+def ranges(path: str, size: int) -> list[Range]:
+    """Ranges of about ``size`` bytes; one range if the headers of the file don't begin with their kind, as then no task can find one."""
     with open_file(path) as f:
-        size, at = f.size(), 0
-        while at < size:
-            f.seek(at)
-            head = f.read(4)
-            if len(head) < 4:
-                raise ValueError(f"{path} ends within a blob header.")
-            (n,) = struct.unpack(">I", head)
-            header = dict(fields(memoryview(f.read(n))))
-            at += 4 + n
-            if bytes(header.get(1, b"")) == b"OSMData":
-                yield at, header[3]
-            at += header[3]
+        end = f.size()
+        begin = f.read(5)
+    step = max(1, size) if begin[4:] == _DATA_MARK[:1] else max(1, end)
+    return [Range(path, at, min(end, at + step)) for at in range(0, end, step)]
+
+
+class _Window:
+    """Bytes of a file by their place in it: a part held in memory, the rest read when asked for."""
+
+    def __init__(self, f, start: int, stop: int):
+        self.f, self.size, self.start = f, f.size(), start
+        f.seek(start)
+        self.held = f.read(min(self.size, stop) - start)
+
+    def __getitem__(self, span: slice) -> bytes:
+        a, b = span.start - self.start, min(span.stop, self.size) - self.start
+        if 0 <= a and b <= len(self.held):
+            return self.held[a:b]
+        have = self.held[a:] if a >= 0 else b""
+        self.f.seek(span.start + len(have))
+        return have + self.f.read(b - a - len(have))
+
+    def header(self, at: int) -> tuple[bool, int, int] | None:
+        """(whether it holds data, offset, end) of the blob whose header starts at ``at``; None if there is no whole one."""
+        head = self[at : at + 4]
+        n = int.from_bytes(head, "big")
+        if len(head) < 4 or not 0 < n <= HEADER_BYTES or at + 4 + n > self.size:
+            return None
+        try:
+            found = dict(fields(memoryview(self[at + 4 : at + 4 + n])))
+            kind, body = bytes(found[1]), int(found[3])
+        except (IndexError, KeyError, TypeError, ValueError):
+            return None
+        end = at + 4 + n + body
+        return (kind == b"OSMData", at + 4 + n, end) if end <= self.size else None
+
+
+def blobs(window: _Window, at: int, start: int, stop: int) -> list[tuple[int, int]] | None:
+    """Going from header to header, from the one at ``at``: (offset, end) of the data blobs whose headers start from ``start`` on and
+    before ``stop``; None if a blob on the way, or the one after them, isn't whole."""
+    out = []
+    while at < window.size:
+        blob = window.header(at)
+        if blob is None:
+            return None
+        if at >= stop:
+            break
+        data, begin, end = blob
+        if data and at >= start:
+            out.append((begin, end))
+        at = end
+    return out
+
+
+def blobs_of(window: _Window, part: Range) -> list[tuple[int, int]]:
+    """(offset, end) of a range's data blobs.
+
+    Bytes count as a header only if whole blobs follow up to the range's end, and one more. Where some look like one and none
+    counts (the file ends early, or a tag does), the way is gone from the start of the file, which tells.
+    """
+    like, at = part.start == 0, window.held.find(_DATA_MARK, 4) if part.start else -1
+    while at >= 0 and part.start + at - 4 < part.stop:
+        found = blobs(window, part.start + at - 4, part.start, part.stop)
+        if found is not None:
+            return found
+        like, at = True, window.held.find(_DATA_MARK, at + 1)
+    found = blobs(window, 0, part.start, part.stop) if like else []
+    if found is None:
+        raise ValueError(f"{part.path} isn't a PBF file, or ends within a blob.")
+    return found
 
 
 def inflate(blob: bytes) -> memoryview:
@@ -130,6 +200,21 @@ def inflate(blob: bytes) -> memoryview:
     raise ValueError("A blob has an unknown compression.")
 
 
+def _packed_of(rows: list[dict], number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(varints, how many of each message) of a packed field of several messages, decoded in one go."""
+    parts = [r.get(number, b"") for r in rows]
+    joined = b"".join(parts)
+    ends = np.r_[0, np.cumsum(np.frombuffer(joined, np.uint8) < 0x80)]
+    return packed(memoryview(joined)), np.diff(ends[np.r_[0, np.cumsum([len(p) for p in parts])]])
+
+
+def _running(deltas: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums that start anew with each list."""
+    total = np.r_[0, np.cumsum(deltas)]
+    first = np.r_[0, np.cumsum(sizes)[:-1]]
+    return total[1:] - np.repeat(total[first], sizes)
+
+
 def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
 
@@ -173,24 +258,21 @@ def decode_block(data: memoryview, kinds: frozenset[str] = frozenset(_MEMBER_KIN
                 yield from _dense(dict(fields(value)), strings, lambda v: degrees(v, lat0), lambda v: degrees(v, lon0))
             elif number in (1, 3, 4):
                 (nodes, None, ways, relations)[number - 1].append(dict(fields(value)))
-        none = memoryview(b"")
         for kind, rows in (("node", nodes), ("way", ways), ("relation", relations)):
             if not rows or kind not in kinds:
                 continue
-            keys, values = ([packed(r.get(n, none)) for r in rows] for n in (2, 3))
-            tags = _tags(strings, np.concatenate(keys), np.concatenate(values), np.array([len(k) for k in keys], np.int64))
+            (keys, sizes), (values, _) = _packed_of(rows, 2), _packed_of(rows, 3)
+            tags = _tags(strings, keys, values, sizes)
             ids = np.array([r[1] for r in rows], np.uint64)
             if kind == "node":
                 ids = signed(ids)
                 lat, lon = (signed(np.array([r[n] for r in rows], np.uint64)) for n in (8, 9))
                 yield _batch(kind, ids, tags, lat=pa.array(degrees(lat, lat0)), lon=pa.array(degrees(lon, lon0)))
                 continue
-            refs = [np.cumsum(signed(packed(r.get(8 if kind == "way" else 9, none)))) for r in rows]
-            sizes = np.array([len(r) for r in refs], np.int64)
-            columns = {"refs": _lists(pa.array(np.concatenate(refs), pa.int64()), sizes)}
+            deltas, sizes = _packed_of(rows, 8 if kind == "way" else 9)
+            columns = {"refs": _lists(pa.array(_running(signed(deltas), sizes), pa.int64()), sizes)}
             if kind == "relation":
-                roles = np.concatenate([packed(r.get(8, none)) for r in rows]).astype(np.int64)
-                types = np.concatenate([packed(r.get(10, none)) for r in rows]).astype(np.int64)
+                roles, types = (_packed_of(rows, n)[0].astype(np.int64) for n in (8, 10))
                 columns |= {"ref_roles": _lists(strings.take(pa.array(roles)), sizes), "ref_types": _lists(pa.array(_MEMBER_KINDS).take(pa.array(types)), sizes)}
             yield _batch(kind, ids.view(np.int64), tags, **columns)
 
@@ -222,27 +304,16 @@ class PbfReader(DataSourceReader):
     def __init__(self, paths: list[str], partition_bytes: int, kinds: frozenset[str]):
         self.paths, self.partition_bytes, self.kinds = paths, partition_bytes, kinds
 
-    def partitions(self) -> list[Blobs]:
-        out = []
-        for path in self.paths:
-            run, size = [], 0
-            for span in blob_spans(path):
-                run.append(span)
-                size += span[1]
-                if size >= self.partition_bytes:
-                    out.append(Blobs(path, tuple(run)))
-                    run, size = [], 0
-            if run:
-                out.append(Blobs(path, tuple(run)))
-        return out or [Blobs("", ())]
-
-    def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
-        if not partition.spans:
+    def partitions(self) -> list[Range]:
+        return [r for path in self.paths for r in ranges(path, self.partition_bytes)] or [Range("", 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if partition.stop == 0:
             return
         with open_file(partition.path) as f:
-            for at, size in partition.spans:
-                f.seek(at)
-                yield from decode_block(inflate(f.read(size)), self.kinds)
+            window = _Window(f, partition.start, partition.stop + 4 + HEADER_BYTES)
+            for at, end in blobs_of(window, partition):
+                yield from decode_block(inflate(window[at:end]), self.kinds)
 
 
 class PbfSource(DataSource):

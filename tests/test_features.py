@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
 import pytest
+from pbf_writer import packed as packed_bytes
 from pbf_writer import write_pbf
 from world import EXPECTED, node, relation, square, way, world
 
@@ -11,7 +15,7 @@ from geoloom.functions.wkb import to_wkt
 from geoloom.plans.features import all_features, relation_parts
 from geoloom.plans.references import resolve
 from geoloom.schema import ELEMENT
-from geoloom.sources.pbf import packed, read_pbf, signed
+from geoloom.sources.pbf import PbfReader, _packed_of, _running, packed, read_pbf, signed
 
 
 def frame(spark, elements):
@@ -56,6 +60,43 @@ def test_pbf_partitions_and_kinds(spark, tmp_path):
     assert read_pbf(spark, path, ("way",)).count() == 29
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_each_blob_is_in_one_range(tmp_path, compress):
+    """Ranges of any size, in files whose tags look like headers of blobs themselves."""
+    path = str(tmp_path / "many.osm.pbf")
+    like = ["OSMData", "\x00\x00\x00\x0b\x0a\x07OSMData\x18\x05", "x" * 300]
+    many = [node(k, k / 1000, -k / 1000, **{"k": like[k % 3], "OSMData": str(k)}) for k in range(1, 60)] + [way(k, [k, 3, 900 * k], a="OSMData") for k in range(1, 30)]
+    write_pbf(path, many, per_block=7, compress=compress)
+    size = os.path.getsize(path)
+    for step in [1, 3, 17, 64, 100, 333, 1000, size - 1, size, 10 * size]:
+        reader = PbfReader([path], step, frozenset(("node", "way")))
+        parts = reader.partitions()
+        assert (parts[0].start, parts[-1].stop) == (0, size) and all(a.stop == b.start for a, b in zip(parts, parts[1:]))
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [(r["kind"], r["id"], r["refs"]) for r in rows] == [(e["kind"], e["id"], e.get("refs")) for e in many]
+
+
+@pytest.mark.parametrize("step", [50, 400, 1 << 20])
+def test_a_file_that_ends_early_is_an_error(tmp_path, step):
+    path = tmp_path / "cut.osm.pbf"
+    write_pbf(path, [node(k, k / 1000, 0, k=str(k)) for k in range(1, 60)], per_block=9)
+    whole = path.read_bytes()
+    for cut in (2, 30, len(whole) // 2):
+        path.write_bytes(whole[:-cut])
+        reader = PbfReader([str(path)], step, frozenset(("node",)))
+        with pytest.raises(ValueError, match="within"):
+            for p in reader.partitions():
+                list(reader.read(p))
+
+
+def test_lists_of_a_group_are_decoded_together():
+    rows = [{8: packed_bytes([0, 300])}, {}, {8: packed_bytes([5])}, {8: packed_bytes([2, 1, 2])}]
+    values, sizes = _packed_of(rows, 8)
+    assert (values.tolist(), sizes.tolist()) == ([0, 300, 5, 2, 1, 2], [2, 0, 1, 3])
+    assert _running(np.array([1, 2, 5, -3, 1, 1]), sizes).tolist() == [1, 3, 5, -3, -2, -1]
+    assert _packed_of([{}, {}], 8)[1].tolist() == [0, 0] and _running(np.zeros(0, np.int64), np.array([0, 0])).tolist() == []
+
+
 def test_varints():
     assert packed(memoryview(bytes([1, 0x96, 0x01, 0xFF, 0xFF, 0x03]))).tolist() == [1, 150, 65535]
     assert signed(packed(memoryview(bytes([0, 1, 2, 3])))).tolist() == [0, -1, 1, -2]
