@@ -57,6 +57,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sum of the rows of each)."""
+    if not len(keys):
+        return keys, rows
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    return ranked[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 class Network:
     """Parameters by name: embeddings, and for each direction input, recurrent and bias weights of gates z, r, n."""
 
@@ -92,27 +102,32 @@ class Network:
         return inputs @ self.p["wf"] + self.p["cf"], inputs @ self.p["wb"] + self.p["cb"]
 
     def run(self, gates: tuple[np.ndarray, np.ndarray], ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logit of each window; ``ids`` are rows of ``gates``, 0 where a window is blank."""
+        """Logit of each window; ``ids`` are rows of ``gates``, 0 where a window is blank.
+
+        Both directions go together: at step k the forward one is at word k, the backward one at word t - 1 - k.
+        """
         n, t, h = *ids.shape, HIDDEN
+        at, u = np.ascontiguousarray(ids.T), np.stack([self.p["uf"], self.p["ub"]])
         mask = ids > 0
-        states = np.zeros((t, n, 2 * h), np.float32)
-        for way, own, order, at in (("f", gates[0], range(t), 0), ("b", gates[1], range(t - 1, -1, -1), h)):
-            u, s = self.p[f"u{way}"], np.zeros((n, h), np.float32)
-            for k in order:
-                g, back = own[ids[:, k]], s @ u
-                zr = _sigmoid(g[:, : 2 * h] + back[:, : 2 * h])
-                z, r = zr[:, :h], zr[:, h:]
-                new = np.tanh(g[:, 2 * h :] + r * back[:, 2 * h :])
-                if keep is not None:
-                    keep[way, k] = s, z, r, new, back[:, 2 * h :]
-                s = np.where(mask[:, k : k + 1], new + z * (s - new), s)
-                states[k, :, at : at + h] = s
+        live = np.stack([mask.T, mask.T[::-1]], axis=1)[..., None]
+        states, s, g = np.zeros((t, n, 2 * h), np.float32), np.zeros((2, n, h), np.float32), np.empty((2, n, 3 * h), np.float32)
+        for k in range(t):
+            for own, words, into in zip(gates, (at[k], at[t - 1 - k]), g):
+                np.take(own, words, axis=0, out=into, mode="clip")
+            back = s @ u
+            zr = _sigmoid(g[..., : 2 * h] + back[..., : 2 * h])
+            z, r = zr[..., :h], zr[..., h:]
+            new = np.tanh(g[..., 2 * h :] + r * back[..., 2 * h :])
+            if keep is not None:
+                keep[k] = s, z, r, new, back[..., 2 * h :]
+            s = np.where(live[k], new + z * (s - new), s)
+            states[k, :, :h], states[t - 1 - k, :, h:] = s
         score = states @ self.p["v"] + np.where(mask.T, 0, -1e9).astype(np.float32)
         weight = np.exp(score - score.max(axis=0)) * mask.T
         weight /= np.maximum(weight.sum(axis=0), 1e-9)
         pooled = np.einsum("tn,tnh->nh", weight, states)
         if keep is not None:
-            keep |= {"states": states, "weight": weight, "pooled": pooled, "mask": mask}
+            keep |= {"states": states, "weight": weight, "pooled": pooled, "live": live}
         return pooled @ self.p["out"] + self.p["bias"]
 
     def gradients(self, inputs: np.ndarray, gates: tuple[np.ndarray, np.ndarray], ids: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -127,23 +142,25 @@ class Network:
         d_score = keep["weight"] * (along - (keep["weight"] * along).sum(axis=0))
         g["v"] = np.einsum("tn,tnh->h", d_score, keep["states"])
         d_states = keep["weight"][:, :, None] * d_pooled + d_score[:, :, None] * self.p["v"]
-        d_inputs = np.zeros_like(inputs)
-        for way, order, at in (("f", range(t - 1, -1, -1), 0), ("b", range(t), h)):
-            u, d_s = self.p[f"u{way}"], np.zeros((n, h), np.float32)
-            d_u, d_gates = np.zeros_like(u), np.zeros((len(inputs), 3 * h), np.float32)
-            for k in order:
-                s, z, r, new, back = keep[way, k]
-                d_s = d_s + d_states[k, :, at : at + h]
-                live = keep["mask"][:, k : k + 1]
-                d = np.where(live, d_s, 0)
-                d_new = d * (1 - z) * (1 - new**2)
-                d_z, d_r = d * (s - new) * z * (1 - z), d_new * back * r * (1 - r)
-                to_gates = np.concatenate([d_z, d_r, d_new], axis=1)
-                to_back = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                np.add.at(d_gates, ids[:, k], to_gates)
-                d_u += s.T @ to_back
-                d_s = np.where(live, d * z, d_s) + to_back @ u.T
-            g[f"u{way}"], g[f"c{way}"], g[f"w{way}"] = d_u, d_gates.sum(axis=0), inputs.T @ d_gates
+        u = np.stack([self.p["uf"], self.p["ub"]])
+        d_s, d_u, steps = np.zeros((2, n, h), np.float32), np.zeros_like(u), np.empty((2, t, n, 3 * h), np.float32)
+        for k in range(t - 1, -1, -1):
+            s, z, r, new, back = keep[k]
+            live = keep["live"][k]
+            d_s = d_s + np.stack([d_states[k, :, :h], d_states[t - 1 - k, :, h:]])
+            d = np.where(live, d_s, 0)
+            d_new = d * (1 - z) * (1 - new**2)
+            d_z, d_r = d * (s - new) * z * (1 - z), d_new * back * r * (1 - r)
+            to_back = np.concatenate([d_z, d_r, d_new * r], axis=2)
+            steps[0, k], steps[1, t - 1 - k] = np.concatenate([d_z, d_r, d_new], axis=2)
+            d_u += s.transpose(0, 2, 1) @ to_back
+            d_s = np.where(live, d * z, d_s) + to_back @ u.transpose(0, 2, 1)
+        d_inputs, words = np.zeros_like(inputs), ids.T.ravel()
+        for way, own, d in zip("fb", steps.reshape(2, t * n, 3 * h), d_u):
+            d_gates = np.zeros((len(inputs), 3 * h), np.float32)
+            used, total = _summed(words, own)
+            d_gates[used] = total
+            g[f"u{way}"], g[f"c{way}"], g[f"w{way}"] = d, d_gates.sum(axis=0), inputs.T @ d_gates
             d_inputs += d_gates @ self.p[f"w{way}"].T
         return g, d_inputs
 
@@ -222,20 +239,15 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             sizes = np.array([len(x) for x in parts], np.int64)
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             owner = np.repeat(np.arange(len(words)), sizes)
-            char = np.zeros((len(words), CHAR_DIM), np.float32)
-            np.add.at(char, owner, net.p["char"][flat])
-            char /= np.maximum(sizes, 1)[:, None]
+            char = _summed(owner, net.p["char"][flat])[1] / sizes[:, None]  # each word has a trigram
             inputs = np.concatenate([blank, np.concatenate([net.p["word"][known[words]], char], axis=1)]).astype(np.float32)
             g, d_inputs = net.gradients(inputs, net.gates(inputs), local, y[own])
             step += 1
             rate = RATE * (1 - 0.9 * epoch / epochs)
             sparse = {}
-            d_char = d_inputs[1:, WORD_DIM:] / np.maximum(sizes, 1)[:, None]
+            d_char = d_inputs[1:, WORD_DIM:] / sizes[:, None]
             for name, rows, d in (("word", known[words], d_inputs[1:, :WORD_DIM]), ("char", flat, d_char[owner])):
-                touched, place = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(touched), d.shape[1]), np.float32)
-                np.add.at(total, place, d)
-                sparse[name] = touched, total
+                sparse[name] = _summed(rows, d)
             for name, d in [*g.items(), *sparse.items()]:
                 rows, d = d if isinstance(d, tuple) else (slice(None), d)
                 m, s = moments[name]
