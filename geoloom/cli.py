@@ -119,6 +119,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--working-directory", default="files")
     p.add_argument("--osm-way-polygon-config", type=lambda f: json.loads(Path(f).read_text()))
     p.add_argument("--filter-osm-ids", type=parse_ids)
+    p.add_argument("--loose-ids", action="store_true", help="ids count for elements of every kind")
+    p.add_argument("--empty-filter-keeps-all", action="store_true", help="a tags filter that merges to nothing is no filter")
     order = p.add_mutually_exclusive_group()
     order.add_argument("--sort", action="store_true", default=True)
     order.add_argument("--no-sort", action="store_false", dest="sort")
@@ -160,7 +162,7 @@ def main(argv: list[str] | None = None, spark=None, **hooks) -> int:
         spark = (builder.master(f"local[{a.cpu_limit}]") if a.cpu_limit else builder).getOrCreate()
     reader = OsmReader(
         spark, a.osm_tags_filter or a.osm_tags_filter_file, a.region, a.custom_sql_filter, a.working_directory, a.osm_way_polygon_config, a.compression, a.compression_level,
-        a.row_group_size, a.parquet_version, source, a.iou_threshold, a.allow_uncovered_geometry, a.ignore_metadata_tags, not a.silent, a.cpu_limit, **hooks,
+        a.row_group_size, a.parquet_version, source, a.iou_threshold, a.allow_uncovered_geometry, a.ignore_metadata_tags, not a.silent, a.cpu_limit, a.loose_ids, a.empty_filter_keeps_all, **hooks,
     )
     tags = {"keep_all_tags": a.keep_all_tags, "explode_tags": a.explode_tags, "ids": a.filter_osm_ids}
     as_duckdb = a.duckdb or (a.result_file_path or "").endswith((".duckdb", ".db"))

@@ -171,8 +171,8 @@ def has_tags(tags: Column | str = "tags") -> Column:
     return F.coalesce(F.size(tags) > 0, F.lit(False))
 
 
-def elements_with_ids(ids: Iterable[str] | None, kind: Column | str = "kind", id_: Column | str = "id") -> Column | None:
-    """Elements by ``kind/id``. Ids belong to their kind: ``way/5`` doesn't admit ``node/5``."""
+def elements_with_ids(ids: Iterable[str] | None, kind: Column | str = "kind", id_: Column | str = "id", loose: bool = False) -> Column | None:
+    """Elements by ``kind/id``. Ids belong to their kind: ``way/5`` doesn't admit ``node/5``, unless they are ``loose``."""
     if ids is None:
         return None
     kind, id_ = (F.col(c) if isinstance(c, str) else c for c in (kind, id_))
@@ -182,6 +182,8 @@ def elements_with_ids(ids: Iterable[str] | None, kind: Column | str = "kind", id
         if not m:
             raise ValueError(f"Not an element id: {text!r}")
         by.setdefault(m[1], set()).add(int(m[2]))
+    if loose:
+        return id_.isin(sorted(set().union(*by.values())))
     return functools.reduce(operator.or_, ((kind == k) & id_.isin(sorted(v)) for k, v in by.items()), F.lit(False))
 
 

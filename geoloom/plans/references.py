@@ -61,10 +61,10 @@ def with_metadata_split(elements: DataFrame, strip: bool = True) -> DataFrame:
     return elements.withColumn("raw_tags", F.col("tags")).withColumn("tags", strip_metadata("tags") if strip else F.col("tags"))
 
 
-def wanted(flat: dict | None, sql: str | None = None, ids: Iterable[str] | None = None) -> Column:
-    """Predicate of the elements asked for: raw tags for the filter, stripped ones for SQL, ids with their kind."""
+def wanted(flat: dict | None, sql: str | None = None, ids: Iterable[str] | None = None, loose_ids: bool = False) -> Column:
+    """Predicate of the elements asked for: raw tags for the filter, stripped ones for SQL, ids with their kind unless ``loose_ids``."""
     test = has_tags("raw_tags")
-    for part in (filter_column(flat, "raw_tags"), F.expr(sql) if sql else None, elements_with_ids(ids)):
+    for part in (filter_column(flat, "raw_tags"), F.expr(sql) if sql else None, elements_with_ids(ids, loose=loose_ids)):
         test = test if part is None else test & F.coalesce(part, F.lit(False))
     return test
 
@@ -132,14 +132,14 @@ def in_region(nodes: DataFrame, region: regions.Region) -> DataFrame:
 # ---- the bundle
 
 
-def resolve(elements: DataFrame, flat: dict | None = None, sql: str | None = None, ids: Iterable[str] | None = None, region: regions.Region | None = None, strip: bool = True) -> Bundle:
+def resolve(elements: DataFrame, flat: dict | None = None, sql: str | None = None, ids: Iterable[str] | None = None, region: regions.Region | None = None, strip: bool = True, loose_ids: bool = False) -> Bundle:
     """Follow references from the wanted elements to what their geometry needs.
 
     A way counts as inside a region if one of its nodes is, and then stays whole; a relation if one of its ways is. Elements with
     missing parts are dropped, and those without tags left.
     """
     split = with_metadata_split(elements, strip)
-    keep = wanted(flat, sql, list(ids) if ids is not None else None)
+    keep = wanted(flat, sql, list(ids) if ids is not None else None, loose_ids)
     nodes, ways, relations = node_view(split), way_view(split), relation_view(split)
 
     r_wanted = relations.filter(keep)

@@ -30,6 +30,8 @@ class OsmReader:
     ``tags_filter``: see :mod:`geoloom.functions.tags`. ``region``: list of polygons (:mod:`geoloom.functions.region`).
     ``sql_filter``: a Spark SQL predicate on id, kind and the tags without metadata. ``polygon_config``: a dict with ``all``, ``allowlist`` and
     ``denylist`` that says which closed ways are areas. ``cpu_limit``: partitions of a single-machine read.
+    ``loose_ids``: ids count for elements of every kind. ``empty_filter_keeps_all``: a filter that merges to nothing (of wildcards without a
+    match, say) is no filter, rather than one that nothing passes.
     """
 
     spark: SparkSession
@@ -48,6 +50,8 @@ class OsmReader:
     ignore_metadata_tags: bool = True
     verbose: bool = False
     cpu_limit: int | None = None
+    loose_ids: bool = False
+    empty_filter_keeps_all: bool = False
     session_sql: tuple[str, ...] = ()
     fetch: Callable = field(default=sources.http_fetch, repr=False)
     fetch_bytes: Callable | None = field(default=None, repr=False)
@@ -73,7 +77,9 @@ class OsmReader:
         """Features of an element table, with tags in the form asked for."""
         expanded = tag_functions.expand_filter(elements, self.tags_filter) if self.tags_filter is not None else None
         flat = tag_functions.merge_filter(expanded) if expanded is not None else None
-        bundle = resolve(elements, flat, self.sql_filter, ids, region if region is not None else self.region, self.ignore_metadata_tags)
+        if flat == {} and self.empty_filter_keeps_all:
+            expanded = flat = None
+        bundle = resolve(elements, flat, self.sql_filter, ids, region if region is not None else self.region, self.ignore_metadata_tags, self.loose_ids)
         return tag_functions.project_tags(all_features(bundle, self.polygon_config), expanded, keep_all_tags, explode_tags)
 
     def _elements(self, path: str) -> DataFrame:
@@ -120,7 +126,11 @@ class OsmReader:
 
     def _name(self, names: list[str] | None, result: str | None, keep_all: bool, explode: bool | None, ids, wkt: bool, ordered: bool) -> str:
         explode = tag_functions.explodes(self.tags_filter, keep_all, explode)
-        return result or files.join(str(self.working_directory), sink.result_name(names, self.tags_filter, self.sql_filter, self.ignore_metadata_tags, keep_all, explode, self.region, ids, wkt, ordered))
+        return result or files.join(str(self.working_directory), sink.result_name(names, self.tags_filter, self.sql_filter, self.ignore_metadata_tags, keep_all, explode, self.region, ids, wkt, ordered, self._switches(ids)))
+
+    def _switches(self, ids) -> str:
+        """What the name of a result adds for switches that change it."""
+        return ("_loose" if self.loose_ids and ids else "") + ("_allifempty" if self.empty_filter_keeps_all and self.tags_filter is not None else "")
 
     def _write(self, features: DataFrame, path: str, wkt: bool, order: str | None, single_file: bool) -> str:
         files.make_parent(path)

@@ -171,15 +171,24 @@ def write_duckdb(features: DataFrame, path: str, table: str = "features") -> str
 
 
 def to_pandas(features: DataFrame):
-    """Features by id, maps as dicts; for results that the driver can hold."""
-    return features.toPandas().set_index(FEATURE_ID)
+    """Features by id, maps as dicts; for results that the driver can hold.
+
+    With geopandas a frame of geometries with their reference system, without it one of their WKB.
+    """
+    frame = features.toPandas().set_index(FEATURE_ID)
+    try:
+        import geopandas
+    except ImportError:
+        return frame
+    shapes = geopandas.GeoSeries.from_wkb(frame["geometry"].map(bytes), crs="EPSG:4326")
+    return geopandas.GeoDataFrame(frame, geometry=shapes)
 
 
 def _short(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:8]
 
 
-def result_name(sources: list[str] | None, tags_filter=None, sql: str | None = None, ignore_metadata: bool = True, keep_all: bool = False, explode: bool = False, region: regions.Region | None = None, ids: list[str] | None = None, wkt: bool = False, ordered: bool = False) -> str:
+def result_name(sources: list[str] | None, tags_filter=None, sql: str | None = None, ignore_metadata: bool = True, keep_all: bool = False, explode: bool = False, region: regions.Region | None = None, ids: list[str] | None = None, wkt: bool = False, ordered: bool = False, switches: str = "") -> str:
     """Name of a result, the same for the same request; without sources it starts with the region."""
     tags = "nofilter"
     if tags_filter is not None or sql or not ignore_metadata:
@@ -188,4 +197,4 @@ def result_name(sources: list[str] | None, tags_filter=None, sql: str | None = N
     names = "_".join(Path(s).name.removesuffix(".osm.pbf") for s in sources) if sources else None
     head = f"{names}_{tags}_{clip}" if names else f"{clip}_{tags}"
     tail = f"_{_short(json.dumps(sorted(set(ids))))}" if ids else ""
-    return f"{head}_{'exploded' if explode else 'compact'}{tail}{'_sorted' if ordered else ''}{'_wkt' if wkt else ''}.parquet"
+    return f"{head}_{'exploded' if explode else 'compact'}{tail}{switches}{'_sorted' if ordered else ''}{'_wkt' if wkt else ''}.parquet"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import sys
+import types
 from pathlib import Path
 
 import duckdb
@@ -14,7 +16,7 @@ from world import EXPECTED, world
 
 from geoloom import reader, sink
 from geoloom.cli import main, parse_ids
-from geoloom.errors import InvalidGeometryFilter
+from geoloom.errors import EmptyFilterWarning, InvalidGeometryFilter
 from geoloom.functions import region as regions
 from geoloom.reader import OsmReader
 from geoloom.sources import extracts as sources
@@ -60,6 +62,44 @@ def test_exploded_columns(spark, pbf):
     assert OsmReader(spark, {"building": True}).pbf_to_pandas(pbf, keep_all_tags=True).loc["way/11"].tags == {"building": "yes"}
 
 
+def test_switches(spark, pbf, tmp_path):
+    """Ids of any kind, and a filter that merges to nothing: each by choice, and each under a name of its own."""
+    loose = OsmReader(spark, working_directory=str(tmp_path), loose_ids=True)
+    strict = OsmReader(spark, working_directory=str(tmp_path))
+    found = lambda r, **options: {row.feature_id for row in r.read(pbf, **options).collect()}
+    assert found(strict, ids=["relation/10", "node/11"]) == set()
+    assert found(loose, ids=["relation/10", "node/11"]) == {k for k in EXPECTED if k.split("/")[1] in ("10", "11")} != set()
+    names = {r._name(["a.osm.pbf"], None, False, None, i, False, False) for r in (loose, strict) for i in (None, ["way/10"])}
+    assert len(names) == 3
+
+    nothing = {"no such key*": True}
+    with pytest.warns(EmptyFilterWarning):
+        assert found(OsmReader(spark, nothing)) == set()
+    kept = OsmReader(spark, nothing, empty_filter_keeps_all=True)
+    assert found(kept) == set(EXPECTED)
+    assert kept._name(["a"], None, False, None, None, False, False) != OsmReader(spark, nothing)._name(["a"], None, False, None, None, False, False)
+
+
+def test_frames_have_geometries_where_the_library_is(spark, pbf, monkeypatch):
+    """A stand-in for the library, which tests can't count on."""
+    made = {}
+
+    class Series:
+        @staticmethod
+        def from_wkb(values, crs):
+            made["crs"], made["bytes"] = crs, all(isinstance(v, bytes) for v in values)
+            return values
+
+    library = types.ModuleType("geopandas")
+    library.GeoSeries = Series
+    library.GeoDataFrame = lambda frame, geometry: frame.assign(geometry=geometry)
+    monkeypatch.setitem(sys.modules, "geopandas", library)
+    frame = OsmReader(spark).pbf_to_pandas(pbf)
+    assert made == {"crs": "EPSG:4326", "bytes": True} and set(frame.index) == set(EXPECTED)
+    monkeypatch.setitem(sys.modules, "geopandas", None)
+    assert set(OsmReader(spark).pbf_to_pandas(pbf).columns) == {"tags", "geometry"}
+
+
 def test_wkt_table_and_duckdb(spark, pbf, tmp_path):
     r = OsmReader(spark, working_directory=str(tmp_path))
     with pytest.raises(ValueError):
