@@ -73,16 +73,19 @@ def _nested(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def relation_geometry(members: DataFrame, ways: DataFrame) -> DataFrame:
-    """(id, geometry) of the relations that have all their ways and whose parts close.
+    """(id, geometry) of the relations that have all their ways, one of them inside if ``ways`` has ``hit``, and whose parts close.
 
     One join and one aggregation: a relation's members are listed and found complete together.
     """
     spark = members.sparkSession
-    rows = members.join(ways.select(F.col("id").alias("ref"), "points"), "ref", "left")
+    hit = F.col("hit") if "hit" in ways.columns else F.lit(True)
+    rows = members.join(ways.select(F.col("id").alias("ref"), "points", hit.alias("hit")), "ref", "left")
     row = F.struct(F.col("ref_idx").cast("int").alias("idx"), F.col("ref_role").alias("role"), "points")
-    whole = rows.groupBy("id").agg(F.collect_list(row).alias("members"), F.count_if(F.col("points").isNull()).alias("missing")).filter("missing = 0")
+    whole = rows.groupBy("id").agg(F.collect_list(row).alias("members"), F.count_if(F.col("points").isNull()).alias("missing"), F.count_if("hit").alias("hits")).filter("missing = 0 and hits > 0")
     if jts.install(spark):
-        return whole.select("id", jts.area(F.col("members")).alias("geometry")).filter("geometry is not null")
+        # a filter on the shape would be pushed below it and make each shape twice
+        made = F.filter(F.array(jts.area(F.col("members"))), lambda g: g.isNotNull())
+        return whole.select("id", F.explode(made).alias("geometry"))
     batches.bound(spark)
     return whole.select("id", "members").mapInArrow(_nested, "id long, geometry binary")
 

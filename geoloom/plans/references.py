@@ -1,7 +1,8 @@
 """The reference graph: relation -> way -> node.
 
 The way refs join the node coordinates once, and one aggregation by way then gives the ordered points and whether all
-nodes were there. With a region, ways and relations are first reduced to those that the region touches.
+nodes were there. With a region, ways and relations are first reduced to those that the region touches; if it is a large part
+of the globe, so that this would spare little, the one join tells what it touches as well.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,8 @@ from geoloom.schema import RELATION_TYPES
 
 #: Edges of a region up to which the test is one JVM expression.
 NATIVE_EDGES = 64
+#: Share of the globe from which on a region's box is wide: ways are not looked at beforehand.
+WIDE = 0.1
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,8 @@ class Bundle:
 
     ``nodes``: id, tags, lat, lon. ``ways``: id, tags, raw_tags, points of wanted ways. ``relations``: id, tags of wanted relations.
     ``members``: id, ref, ref_role, ref_idx of theirs. ``member_ways``: id, points of the ways among them that have all nodes;
-    relations that miss one have no geometry.
+    relations that miss one have no geometry. With a wide region it has ``hit`` as well, whether a way is inside: relations without
+    such a way have no geometry.
     """
 
     nodes: DataFrame
@@ -79,9 +83,9 @@ def member_refs(relations: DataFrame) -> DataFrame:
     return rows.filter("m.ref_types = 'way'").select("id", F.col("m.refs").alias("ref"), F.nullif("m.ref_roles", F.lit("")).alias("ref_role"), "ref_idx")
 
 
-def node_refs(ways: DataFrame) -> DataFrame:
-    """(id, ref, ref_idx): a row per node of a way."""
-    return ways.select("id", F.posexplode("refs").alias("ref_idx", "ref")).select("id", "ref", "ref_idx")
+def node_refs(ways: DataFrame, *also: str) -> DataFrame:
+    """(id, ref, ref_idx), and the columns ``also``: a row per node of a way."""
+    return ways.select("id", *also, F.posexplode("refs").alias("ref_idx", "ref")).select("id", "ref", "ref_idx", *also)
 
 
 def distinct_refs(edges: DataFrame) -> DataFrame:
@@ -99,34 +103,50 @@ def touching(edges: DataFrame, hits: DataFrame) -> DataFrame:
     return edges.join(hits.select(F.col("id").alias("ref")), "ref", "left_semi").select("id").distinct()
 
 
-def way_points(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, points, whole): ordered points of each way, and whether all its nodes have coordinates."""
-    at = nodes.select(F.col("id").alias("ref"), point(F.col("lon"), F.col("lat")).alias("p"))
+def way_points(refs: DataFrame, nodes: DataFrame, *also: str, inside: Column | None = None) -> DataFrame:
+    """(id, points, whole): ordered points of each way, and whether all its nodes have coordinates; its columns ``also``; and ``hit``,
+    whether a node of it is ``inside``, if that is asked.
+
+    All comes from one list, so that plans which ask for different columns of this share its shuffles.
+    """
+    at = nodes.select(F.col("id").alias("ref"), point(F.col("lon"), F.col("lat")).alias("p"), *([] if inside is None else [inside.alias("inside")]))
     rows = refs.join(at, "ref", "left")
-    listed = F.sort_array(F.collect_list(F.struct("ref_idx", "p")))
-    return rows.groupBy("id").agg(F.transform(listed, lambda s: s["p"]).alias("points"), F.count_if(F.col("p").isNull()).alias("missing")).select("id", "points", (F.col("missing") == 0).alias("whole"))
+    row = F.struct("ref_idx", "p", *also, *([] if inside is None else ["inside"]))
+    listed = rows.groupBy("id").agg(F.sort_array(F.collect_list(row)).alias("listed"))
+    hit = [] if inside is None else [F.coalesce(F.exists("listed", lambda s: s["inside"]), F.lit(False)).alias("hit")]
+    return listed.select("id", F.transform("listed", lambda s: s["p"]).alias("points"), (~F.exists("listed", lambda s: s["p"].isNull())).alias("whole"), *[F.col("listed")[0][c].alias(c) for c in also], *hit)
 
 
 # ---- regions
 
 
-def in_region(nodes: DataFrame, region: regions.Region) -> DataFrame:
-    """Nodes inside or on the border: first by box, which parquet can prune by, then exactly."""
+def is_wide(region: regions.Region) -> bool:
+    x_min, y_min, x_max, y_max = regions.bounds(region)
+    return (x_max - x_min) * (y_max - y_min) >= WIDE * 360 * 180
+
+
+def inside_region(spark: SparkSession, region: regions.Region) -> Column:
+    """Whether a node is inside or on the border: first by box, which parquet can prune by, then exactly."""
     box = regions.bounds(region)
-    near = nodes.filter(in_box(F.col("lon"), F.col("lat"), box))
+    near = in_box(F.col("lon"), F.col("lat"), box)
     if len(region) == 1 and len(region[0]) == 1 and len(region[0][0]) == 5 and {x for x, _ in region[0][0]} == {box[0], box[2]} and {y for _, y in region[0][0]} == {box[1], box[3]}:
         return near
     if len(region) == 1 and sum(len(r) for p in region for r in p) <= NATIVE_EDGES:
-        return near.filter(in_rings(F.col("lon"), F.col("lat"), region[0]))
+        return near & in_rings(F.col("lon"), F.col("lat"), region[0])
 
-    if jts.install(nodes.sparkSession):
-        return near.filter(jts.inside(F.col("lon"), F.col("lat"), region))
+    if jts.install(spark):
+        return near & jts.inside(F.col("lon"), F.col("lat"), region)
 
     @F.pandas_udf(T.BooleanType())
     def inside(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(regions.contains(region, x.to_numpy(np.float64), y.to_numpy(np.float64)))
 
-    return near.filter(inside("lon", "lat"))
+    return near & inside("lon", "lat")
+
+
+def in_region(nodes: DataFrame, region: regions.Region) -> DataFrame:
+    """Nodes inside or on the border."""
+    return nodes.filter(inside_region(nodes.sparkSession, region))
 
 
 # ---- the bundle
@@ -144,28 +164,33 @@ def resolve(elements: DataFrame, flat: dict | None = None, sql: str | None = Non
 
     r_wanted = relations.filter(keep)
     members = member_refs(r_wanted)
-    w_wanted = ways.select("id", "refs", "tags", "raw_tags", keep.alias("asked"))
+    w_refs = ways.select("id", "refs", keep.alias("asked"))
+    w_tags = split.filter((F.col("kind") == "way") & keep & has_tags()).select("id", "tags", "raw_tags")
     n_wanted = nodes.filter(keep)
 
+    inside = None
     if region is not None:
-        hits = in_region(nodes, region).select("id")
         n_wanted = in_region(n_wanted, region)
+    if region is not None and is_wide(region):
+        inside = inside_region(elements.sparkSession, region)
+    elif region is not None:
+        hits = in_region(nodes, region).select("id")
         needed = distinct_refs(members).withColumn("needed", F.lit(True))
-        candidates = w_wanted.join(needed, "id", "left").filter(F.col("asked") | F.col("needed"))
+        candidates = w_refs.join(needed, "id", "left").filter(F.col("asked") | F.col("needed"))
         w_hits = touching(node_refs(candidates), hits)
         members = members.join(touching(members, w_hits), "id", "left_semi")
-        w_wanted = w_wanted.join(w_hits.withColumn("hit", F.lit(True)), "id", "left").withColumn("asked", F.col("asked") & F.coalesce("hit", F.lit(False))).drop("hit")
+        w_refs = w_refs.join(w_hits.withColumn("hit", F.lit(True)), "id", "left").withColumn("asked", F.col("asked") & F.coalesce("hit", F.lit(False))).drop("hit")
 
     needed = distinct_refs(members).withColumn("needed", F.lit(True))
-    flagged = w_wanted.join(needed, "id", "left").withColumn("needed", F.coalesce("needed", F.lit(False))).filter(F.col("asked") | F.col("needed"))
-    # tags travel past the node join, so its shuffle carries ids and positions only
-    points = way_points(node_refs(flagged), nodes).filter("whole").select("id", "points")
-    lines = flagged.select("id", "asked", "needed", "tags", "raw_tags").join(points, "id")
+    flagged = w_refs.join(needed, "id", "left").withColumn("needed", F.coalesce("needed", F.lit(False))).filter(F.col("asked") | F.col("needed"))
+    # ways and members take their points from one plan up to its last shuffle; tags join only the ways asked for
+    points = way_points(node_refs(flagged, "asked", "needed"), nodes, "asked", "needed", inside=inside).filter("whole")
+    hit = [] if inside is None else ["hit"]
 
     return Bundle(
         n_wanted.filter(has_tags()).select("id", "tags", "lat", "lon"),
-        lines.filter(F.col("asked") & has_tags()).select("id", "tags", "raw_tags", "points"),
+        w_tags.join(points.filter(" and ".join(["asked", *hit])).select("id", "points"), "id"),
         r_wanted.filter(has_tags()).select("id", "tags"),
         members,
-        lines.filter("needed").select("id", "points"),
+        points.filter("needed").select("id", "points", *hit),
     )

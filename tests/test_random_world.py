@@ -9,6 +9,7 @@ from test_features import frame, features
 from world import node, relation, square, way
 
 from geoloom.functions import region as regions
+from geoloom.plans import references
 from geoloom.schema import METADATA_KEYS, RELATION_TYPES
 
 TAGS = [{}, {"building": "yes"}, {"highway": "path"}, {"area": "no", "building": "yes"}, {"source": "x"}, {"natural": "wood"}, {"natural": "cliff"}, {"area": "yes"}]
@@ -83,3 +84,16 @@ def test_random_world(spark, seed):
     assert set(features(df, region=regions.from_box(box))) == expected(elements, inside=inside)
     assert set(features(df, flat={"building": True})) == expected(elements, lambda t: "building" in t)
     assert set(features(df, flat={"highway": True, "natural": "w*", "area": False}, region=regions.from_box(box))) == expected(elements, lambda t: ("highway" in t or t.get("natural", "").startswith("w")) and "area" not in t, inside)
+
+
+@pytest.mark.parametrize("wide", [0.0, 2.0])
+@pytest.mark.parametrize("box", [(-20.0, -15.0, 25.0, 18.0), (-170.0, -80.0, 5.0, 18.0), (100.0, 10.0, 110.0, 20.0)])
+def test_a_region_gives_the_same_by_either_plan(spark, monkeypatch, wide, box):
+    """From a share of the globe on, the join of points tells what is inside; below it, ways are looked at beforehand."""
+    monkeypatch.setattr(references, "WIDE", wide)
+    elements = random_world(3)
+    inside = lambda x, y: box[0] <= x <= box[2] and box[1] <= y <= box[3]
+    df = frame(spark, elements).repartition(5)
+    assert references.is_wide(regions.from_box(box)) == (wide == 0)
+    assert set(features(df, region=regions.from_box(box))) == expected(elements, inside=inside)
+    assert set(features(df, flat={"building": True, "type": True}, region=regions.from_box(box))) == expected(elements, lambda t: "building" in t or "type" in t, inside)
